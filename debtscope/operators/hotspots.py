@@ -16,6 +16,8 @@ MIN_LENGTH = 30
 MIN_COMPLEXITY = 10
 _LOOK_AHEAD = 200
 _FALLBACK_LENGTH = 100
+#: Blank lines and ``#`` lines never end an indented function.
+_SKIPPED_LINE = R.rx(r"^\s*(?:#|\z)")
 FUNCTION_TYPE = "array<struct<name:string,line:int,length:int,complexity:int,nesting:int>>"
 
 
@@ -47,13 +49,13 @@ def _indented_length(piece: Column, start: Column) -> Column:
     own = F.length(piece) - F.length(F.ltrim(piece))
 
     def dedents(line: Column) -> Column:
-        body = X.strip(line)
         depth = F.length(line) - F.length(F.ltrim(line))
-        return (body != "") & (depth <= own) & ~F.startswith(body, F.lit("#"))
+        return (depth <= own) & ~F.rlike(line, F.lit(_SKIPPED_LINE))
 
     ahead = F.slice("advisor", start + 2, F.lit(_LOOK_AHEAD - 1))
-    found = F.array_position(F.transform(ahead, dedents), True)
-    return F.when(found > 0, found).otherwise(F.least(F.lit(_FALLBACK_LENGTH), F.size("advisor") - start)).cast("int")
+    ends = F.transform(ahead, lambda line, i: F.when(dedents(line), i + 1))
+    first = F.get(F.filter(ends, lambda end: end.isNotNull()), F.lit(0))
+    return F.coalesce(first, F.least(F.lit(_FALLBACK_LENGTH), F.size("advisor") - start))
 
 
 def _braced_length(piece: Column) -> Column:
@@ -70,9 +72,8 @@ def _braced_length(piece: Column) -> Column:
             F.when(closes, acc["lines"]).otherwise(acc["end"]).alias("end"),
         )
 
-    folded = F.aggregate(tokens, start, step, lambda acc: acc["end"])
-    end = F.when(F.contains(piece, F.lit("}")), folded).otherwise(-1)
-    return F.when(end >= 0, end).otherwise(X.occurrences(piece, "\n"))
+    end = F.aggregate(tokens, start, step, lambda acc: F.when(acc["end"] >= 0, acc["end"]))
+    return F.coalesce(F.when(F.contains(piece, F.lit("}")), end), X.occurrences(piece, "\n"))
 
 
 def _pieces(files: DataFrame) -> DataFrame:

@@ -122,17 +122,17 @@ def with_line_arrays(files: DataFrame) -> DataFrame:
     kinds = F.zip_with("stripped", "states", lambda s, state: _kind(s, state, F.col("single")))
     return (
         files.withColumn("lines", X.metric_lines(F.coalesce("text", F.lit(""))))
-        .withColumn("classes", F.when(html, pairs).otherwise(plain))
-        .withColumn("classes", F.when(html, _script_modes(F.col("classes"))).otherwise(F.col("classes")))
+        .withColumn("line_classes", F.when(html, pairs).otherwise(plain))
+        .withColumn("line_classes", F.when(html, _script_modes(F.col("line_classes"))).otherwise(F.col("line_classes")))
         .withColumns(
             {
-                "states": F.split(_comment_blocks(F.col("classes")), "", -1),
+                "states": F.split(_comment_blocks(F.col("line_classes")), "", -1),
                 "stripped": F.transform("lines", X.strip),
             }
         )
         .withColumn("states", F.when(F.size("lines") > 0, F.col("states")).otherwise(F.array().cast("array<string>")))
         .withColumn("kinds", kinds)
-        .drop("classes")
+        .drop("line_classes")
     )
 
 
