@@ -137,9 +137,17 @@ def with_line_arrays(files: DataFrame) -> DataFrame:
 
 
 def line_rows(files: DataFrame) -> DataFrame:
-    """The line relation: one row per metric line with its states and class."""
+    """The line relation: one row per metric line with its states and class.
+
+    ``tag`` names script tags, ``in_comment`` is the state before the line, ``opens`` marks the
+    line of a block start, ``kind`` is T, B, C, P or K, and ``is_logic_line`` flags code and
+    lone brackets of a logic language or of an HTML script.
+    """
     zipped = with_line_arrays(files).select(
-        "file_id", "lang", F.posexplode(F.arrays_zip("lines", "stripped", "states", "kinds")).alias("pos", "x")
+        "file_id",
+        "lang",
+        "is_logic",
+        F.posexplode(F.arrays_zip("lines", "stripped", "states", "kinds")).alias("pos", "x"),
     )
     state, kind = F.col("x.states"), F.col("x.kinds")
     return zipped.select(
@@ -148,9 +156,10 @@ def line_rows(files: DataFrame) -> DataFrame:
         (F.col("pos") + 1).alias("n"),
         F.col("x.lines").alias("line"),
         F.col("x.stripped").alias("stripped"),
+        F.when(state == "S", "start").when(state == "T", "end").alias("tag"),
         (state > "Z").alias("in_script"),
         state.isin("C", "c").alias("in_comment"),
-        state.isin("S", "T").alias("is_tag"),
+        state.isin("O", "o", "I", "i").alias("opens"),
         F.upper(kind).alias("kind"),
-        (kind > "Z").alias("is_script_code"),
+        ((kind > "Z") | (F.col("is_logic") & kind.isin("P", "K"))).alias("is_logic_line"),
     )

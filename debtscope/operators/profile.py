@@ -53,25 +53,40 @@ def import_lines(text: Column, kind: Column) -> Column:
     return F.array_distinct(found.otherwise(F.array().cast("array<string>")))
 
 
-def measured(files: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Raw measures per file before scoring; ``carry`` names further columns to keep."""
-    carry = carry or []
+def with_logic_text(files: DataFrame) -> DataFrame:
+    """Add the syntax nodes, the logic lines and their joined text.
+
+    Logic lines are the code lines of a logic language and the script lines of HTML.  The text
+    is empty where the syntax tree is used instead.
+    """
     parsed = files.withColumn("nodes", syntax.syntax_nodes("strict_text"))
     lined = L.with_line_arrays(parsed).withColumn("ast_ok", F.col("nodes").isNotNull())
     is_html = F.col("lang") == "HTML"
-    # Logic lines are the script lines of HTML and all code lines of a logic language.
     wanted = F.when(is_html, "kp").when(F.col("is_logic"), "KP").otherwise("")
     logic = F.filter(F.arrays_zip("lines", "stripped", "kinds"), lambda x: F.contains(wanted, x["kinds"]))
-    picked = lined.withColumn("logic", logic).withColumn("class_string", F.upper(F.array_join("kinds", "")))
-    scan = ~F.col("ast_ok")
-    logic_text = F.when(scan, F.array_join(F.col("logic.stripped"), "\n")).otherwise("")
-    family = F.when(is_html, "C-Family").otherwise(F.col("family"))
-    import_kind = F.when(is_html, "script").otherwise(F.col("import_kind"))
-    worded = (
-        picked.withColumn("logic_text", logic_text)
-        .withColumn("words", branch_words(sanitized(F.col("logic_text"), F.col("lang")), family))
-        .withColumn("import_lines", import_lines(F.col("logic_text"), import_kind))
+    picked = lined.withColumn("logic", logic).withColumns(
+        {
+            "family": F.when(is_html, "C-Family").otherwise(F.col("family")),
+            "import_kind": F.when(is_html, "script").otherwise(F.col("import_kind")),
+        }
+    )
+    text = F.when(~F.col("ast_ok"), F.array_join(F.col("logic.stripped"), "\n")).otherwise("")
+    return picked.withColumn("logic_text", text)
+
+
+def with_branches(files: DataFrame) -> DataFrame:
+    """Add ``words``, the branch words of the logic text, and ``import_lines``."""
+    clean = sanitized(F.col("logic_text"), F.col("lang"))
+    return files.withColumn("words", branch_words(clean, F.col("family"))).withColumn(
+        "import_lines", import_lines(F.col("logic_text"), F.col("import_kind"))
     )
+
+
+def measured(files: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Raw measures per file before scoring; ``carry`` names further columns to keep."""
+    carry = carry or []
+    worded = with_branches(with_logic_text(files)).withColumn("class_string", F.upper(F.array_join("kinds", "")))
+    scan = ~F.col("ast_ok")
     deepest = F.coalesce(F.array_max(F.transform(F.col("logic.lines"), X.indent_level)), F.lit(0))
     readable = F.col("text").isNotNull()
     found = F.when(F.col("ast_ok"), syntax.complexity(F.col("nodes"))).otherwise(
@@ -87,7 +102,7 @@ def measured(files: DataFrame, carry: list[str] | None = None) -> DataFrame:
     return staged(
         worded,
         ["file_id", "repo", "path", "is_logic", "is_exempt", *carry],
-        html=is_html,
+        html=F.col("lang") == "HTML",
         lang=F.col("lang"),
         ast_ok=F.col("ast_ok"),
         readable=readable,
