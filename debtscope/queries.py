@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from debtscope.functions import regex as R, scores as S, text as X
+from debtscope.functions.stage import staged
 from debtscope.operators import diagnose as D, hotspots as H, lines as L, profile as P, ranking as K, rollup as U
 from debtscope.operators import smells as M, syntax as A
 from debtscope.operators.matches import match_rows
@@ -143,17 +144,18 @@ def _(spark, sf_dir):
 
 @query("prj_09_sanitised_text")
 def _(spark, sf_dir):
-    scanned = P.with_logic_text(sources(spark, sf_dir)).filter((F.size("logic") > 0) & ~F.col("ast_ok"))
-    clean = P.sanitized(F.col("logic_text"), F.col("lang"))
-    return scanned.filter(F.col("family").isNotNull()).select("file_id", F.md5(clean).alias("digest"), F.length(clean).alias("n_chars"))
+    scanned = P.with_logic_text(sources(spark, sf_dir))
+    clean = scanned.withColumn("clean", P.sanitized(F.col("logic_text"), F.col("lang")))
+    known = (F.size("logic") > 0) & ~F.col("ast_ok") & F.col("family").isNotNull()
+    rows = staged(clean, ["file_id"], wanted=known, digest=F.md5("clean"), n_chars=F.length("clean"))
+    return rows.filter("wanted").drop("wanted")
 
 
 @query("prj_10_line_complexity")
 def _(spark, sf_dir):
     worded = P.with_branches(P.with_logic_text(sources(spark, sf_dir)))
-    return worded.filter(F.size("words") > 0).select(
-        "file_id", F.size("words").alias("branches"), P.branch_weight(F.col("words")).alias("weight")
-    )
+    rows = staged(worded, ["file_id"], branches=F.size("words"), weight=P.branch_weight(F.col("words")))
+    return rows.filter(F.col("branches") > 0)
 
 
 @query("prj_11_indent_level")

@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: One row of ``files`` holds a whole source text and expands to several arrays
-#: of its size, so scan tasks and Arrow batches are kept smaller than Spark's defaults.
+#: One row of ``files`` holds a whole source text, expands to several arrays of its size and
+#: costs much CPU for its bytes, so scan tasks, shuffle partitions and Arrow batches are kept
+#: smaller than Spark's defaults.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.session.timeZone": "UTC",
 }
 
+#: Set before the session starts: recording a Python call site for every column makes long
+#: expressions slow to build.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Apply :data:`SETTINGS` to a session builder."""
-    for key, value in SETTINGS.items():
+    """Apply all settings to a session builder."""
+    for key, value in (SETTINGS | STATIC_SETTINGS).items():
         builder = builder.config(key, value)
     return builder
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable part of :data:`SETTINGS` to a running session."""
+    """Apply :data:`SETTINGS` to a running session."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -26,13 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lookup(values: dict[str, str], key: Column) -> Column:
-    entries = [F.lit(part) for pair in values.items() for part in pair]
-    return F.create_map(*entries)[key]
+def _lookup(values: dict, key: str) -> Column:
+    entries = ", ".join(f"{part!r}" for pair in values.items() for part in pair)
+    return F.expr(f"map({entries})[{key}]")
 
 
-def _choose(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _choose(values: list[str], index: str) -> Column:
+    return F.expr(f"element_at(array({', '.join(map(repr, values))}), cast({index} as int) + 1)")
 
 
 def code_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +43,9 @@ def code_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = staged(items, KEYS, slot=mixed % slots)
     file_id = F.when(F.col("slot") % 4 == 0, F.lit(BIG_FILE_BASE) + F.floor(F.col("slot") / 40)).otherwise(F.col("slot"))
     typed = keyed.withColumn("file_id", file_id)
-    typed = typed.withColumn("ext", _choose(T.EXTENSIONS, F.col("file_id") % len(T.EXTENSIONS)))
-    familied = typed.withColumn("family", _lookup(T.FAMILY_OF_EXTENSION, F.col("ext")))
-    size = F.create_map(*[F.lit(part) for pair in T.FAMILY_SIZES.items() for part in pair])[F.col("family")]
+    typed = typed.withColumn("ext", _choose(T.EXTENSIONS, f"file_id % {len(T.EXTENSIONS)}"))
+    familied = typed.withColumn("family", _lookup(T.FAMILY_OF_EXTENSION, "ext"))
+    size = _lookup(T.FAMILY_SIZES, "family")
     row_key = F.expr("l_orderkey * 7 + l_suppkey * 3 + l_linenumber + l_partkey")
     columns = {name: F.col(name) for name in ("file_id", "ext", "family")}
     return staged(familied, KEYS, **columns, k=(row_key % size).cast("int"))
@@ -64,7 +64,7 @@ def _code_path(file_id: Column, ext: Column) -> Column:
     )
     shown = F.when(every(19), F.lit("txt")).when(every(17), F.upper(ext)).otherwise(ext)
     plain = F.concat(F.lit("f"), number, F.lit("."), shown)
-    exempt = F.concat(F.lit("d"), number, F.lit("/"), _lookup(T.EXEMPT_NAME_OF_EXTENSION, ext))
+    exempt = F.concat(F.lit("d"), number, F.lit("/"), _lookup(T.EXEMPT_NAME_OF_EXTENSION, "ext"))
     name = F.when(every(23), F.concat(F.lit("Makefile"), number))
     name = name.when(every(13) & ext.isin(*T.EXEMPT_NAME_OF_EXTENSION), exempt)
     return F.concat(folder, name.otherwise(plain))
@@ -73,7 +73,7 @@ def _code_path(file_id: Column, ext: Column) -> Column:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files`` relation of generated code."""
     bodies = local_table(spark, [(t.family, t.k, t.body) for t in T.TEMPLATES], "family string, k int, body string")
-    token = F.concat(F.lit("r"), F.concat_ws("x", *KEYS))
+    token = F.concat(F.lit("r"), F.concat_ws("_", *KEYS))
     rows = code_rows(spark, sf_dir).join(F.broadcast(bodies), ["family", "k"])
     line = F.struct(*KEYS, F.replace("body", F.lit("@"), token).alias("body"))
     grouped = rows.groupBy("file_id", "ext").agg(F.sort_array(F.collect_set(line)).alias("rows"))
@@ -93,7 +93,7 @@ def _text_files(rows: DataFrame, file_id: Column, repo: str, path: Column, conte
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a file; the extensions take turns so that prose meets every language."""
     key = F.col("doc_id")
-    path = F.concat(F.lit("docs/d"), key.cast("string"), F.lit("."), _choose(T.EXTENSIONS, key % len(T.EXTENSIONS)))
+    path = F.concat(F.lit("docs/d"), key.cast("string"), F.lit("."), _choose(T.EXTENSIONS, f"doc_id % {len(T.EXTENSIONS)}"))
     return _text_files(table(spark, sf_dir, "documents"), key + DOCUMENT_BASE, "documents", path, F.col("text"))
 
 

@@ -115,7 +115,7 @@ cte(
                 THEN 'd' || file_id || '/' || {lookup(T.EXEMPT_NAME_OF_EXTENSION, 'code_ext')}
                 ELSE 'f' || file_id || '.' || CASE WHEN file_id % 19 = 0 THEN 'txt' WHEN file_id % 17 = 0 THEN upper(code_ext) ELSE code_ext END
            END AS path,
-        string_agg(replace(body, '@', 'r' || l_orderkey || 'x' || l_linenumber || 'x' || l_suppkey || 'x' || l_partkey), chr(10)
+        string_agg(replace(body, '@', 'r' || l_orderkey || '_' || l_linenumber || '_' || l_suppkey || '_' || l_partkey), chr(10)
                    ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey) AS content
         FROM code_rows JOIN templates USING (family, k) GROUP BY file_id, code_ext""",
     "code_rows", "templates",
