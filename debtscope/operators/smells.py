@@ -29,12 +29,12 @@ def _no_strings() -> Column:
 
 
 def _hits(key: str) -> Column:
-    found = F.regexp_extract_all("text", F.lit(R.SMELL_PATTERNS[key]), F.lit(0))
+    found = F.regexp_extract_all("smell_text", F.lit(R.SMELL_PATTERNS[key]), F.lit(0))
     if key not in _NEEDED:
         return found
     present = F.lit(False)
     for piece in _NEEDED[key]:
-        present = present | F.contains("text", F.lit(piece))
+        present = present | F.contains("smell_text", F.lit(piece))
     return F.when(present, found).otherwise(_no_strings())
 
 
@@ -47,7 +47,7 @@ def _def_ranges() -> Column:
     )
 
 
-def _deep_rows() -> Column:
+def _deep_rows(text: Column) -> Column:
     """``(func, line)`` of deeply nested lines; ``func`` is null above the first ``def``."""
     deep = F.lit(R.SMELL_PATTERNS["deep_nesting"])
 
@@ -61,7 +61,7 @@ def _deep_rows() -> Column:
         )
 
     rows = F.flatten(F.transform(F.split("def_marked", X.MARK, -1), of_piece))
-    return F.when(F.rlike("text", deep), rows).otherwise(
+    return F.when(F.rlike(text, deep), rows).otherwise(
         F.array().cast("array<struct<func:string,line:int>>")
     )
 
@@ -115,20 +115,20 @@ def _smell(key: str, count: Column, lines: Column, formatted=None, details=None)
 
 def with_smells(files: DataFrame) -> DataFrame:
     """Add ``smells``: an array in detector order, empty where nothing was found."""
-    text = F.col("text")
+    text = F.col("smell_text")
     marked = F.when(F.contains(text, F.lit("def")), X.marked(text, R.DEF_LINE)).otherwise(text)
-    scanned = files.withColumn("text", F.coalesce(text, F.lit(""))).withColumns(
+    scanned = files.withColumn("smell_text", F.coalesce("text", F.lit(""))).withColumns(
         {f"hits_{key}": _hits(key) for key in _REGEX_KEYS} | {"advisor": X.advisor_lines(text), "def_marked": marked}
     )
     located = scanned.withColumns(
         {
             "def_starts": X.mark_lines(F.split("def_marked", "\n", -1)),
             "def_names": F.when(
-                F.contains("text", F.lit("def")), F.regexp_extract_all("text", F.lit(R.DEF_LINE), F.lit(1))
+                F.contains(text, F.lit("def")), F.regexp_extract_all(text, F.lit(R.DEF_LINE), F.lit(1))
             ).otherwise(_no_strings()),
         }
     )
-    grouped = located.withColumns({"def_ranges": _def_ranges(), "deep_rows": _deep_rows()})
+    grouped = located.withColumns({"def_ranges": _def_ranges(), "deep_rows": _deep_rows(text)})
     numbered = F.transform("advisor", lambda line, i: F.struct((i + 1).alias("n"), (F.length(line) > dims.LONG_LINE).alias("long")))
     long_lines = F.transform(F.filter(numbered, lambda x: x["long"]), lambda x: x["n"])
     long_functions = F.filter("def_ranges", lambda r: r["end"] - r["start"] > dims.LONG_FUNCTION)
@@ -137,7 +137,7 @@ def with_smells(files: DataFrame) -> DataFrame:
     found = [
         _smell("deep_nesting", F.size(deep), F.slice(F.transform(deep, lambda r: r["line"]), 1, 5), formatted=_formatted_deep(deep)),
         *[
-            _smell(key, F.size(f"hits_{key}"), first_match_lines(F.col("text"), F.col(f"hits_{key}"), R.SMELL_PATTERNS[key], 5))
+            _smell(key, F.size(f"hits_{key}"), first_match_lines(text, F.col(f"hits_{key}"), R.SMELL_PATTERNS[key], 5))
             for key in _REGEX_KEYS
         ],
         _smell("long_lines", F.size("long_lines"), F.slice("long_lines", 1, 5)),
@@ -180,4 +180,4 @@ def deep_line_rows(files: DataFrame) -> DataFrame:
         X.mark_lines(F.split("def_marked", "\n", -1)).alias("def_starts"),
         F.regexp_extract_all("text", F.lit(R.DEF_LINE), F.lit(1)).alias("def_names"),
     )
-    return ready.select("file_id", F.inline(_deep_rows()))
+    return ready.select("file_id", F.inline(_deep_rows(text)))
