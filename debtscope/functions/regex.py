@@ -175,7 +175,7 @@ CLASS_NAME_GROUPS = {"Python": 2}
 #: Decision keywords of the function-level complexity; the operators only count between words.
 FUNCTION_BRANCHES = rx(
     words("if|else|elif|for|while|switch|case|catch|except|try|and|or", "ifewscetao")
-    + r"|(?<=\w)(?:&&|\|\|)(?=\w)"
+    + r"|(?:&&|\|\|)(?<=\w(?:&&|\|\|))(?=\w)"
 )
 
 #: What the brace matcher looks at: escapes, quoted text (may span lines, may stay open),

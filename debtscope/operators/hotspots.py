@@ -79,12 +79,15 @@ def _braced_length(piece: Column) -> Column:
 def _pieces(files: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     marked = _per_extractor(lambda key: X.marked(text, R.FUNCTION_PATTERNS[key]), F.lit(None).cast("string"))
-    cut = files.withColumns({"marked": marked, "advisor": X.advisor_lines(text)})
-    return cut.withColumns(
-        {
-            "starts": X.mark_lines(F.split("marked", "\n", -1)),
-            "pieces": F.slice(F.split("marked", X.MARK, -1), F.lit(2), F.greatest(X.occurrences(F.col("marked"), X.MARK), F.lit(0))),
-        }
+    cut = files.withColumn("marked", marked)
+    found = F.greatest(X.occurrences(F.col("marked"), X.MARK), F.lit(0))
+    # Staged, because the lines are read inside lambdas and must not be recomputed there.
+    return staged(
+        cut,
+        files.columns,
+        advisor=X.advisor_lines(text),
+        starts=X.mark_lines(F.split("marked", "\n", -1)),
+        pieces=F.slice(F.split("marked", X.MARK, -1), F.lit(2), found),
     )
 
 
@@ -151,10 +154,10 @@ def with_functions(files: DataFrame, keep_all: bool = False) -> DataFrame:
 
 
 def function_rows(files: DataFrame, keep_all: bool = False) -> DataFrame:
-    """``file_id, rank, name, line, length, complexity, nesting``; rank 1 is the most complex."""
+    """``file_id, extractor, rank, name, line, length, complexity, nesting``; rank 1 is the most complex."""
     found = with_functions(files.filter(F.col("extractor").isNotNull()).select("file_id", "text", "extractor"), keep_all)
-    rows = found.select("file_id", F.posexplode("functions").alias("pos", "f"))
-    return rows.select("file_id", (F.col("pos") + 1).alias("rank"), "f.*")
+    rows = found.select("file_id", "extractor", F.posexplode("functions").alias("pos", "f"))
+    return rows.select("file_id", "extractor", (F.col("pos") + 1).alias("rank"), "f.*")
 
 
 def with_classes(files: DataFrame) -> DataFrame:

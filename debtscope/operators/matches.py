@@ -28,14 +28,21 @@ def match_rows(files: DataFrame, pattern: str, **groups: int) -> DataFrame:
     )
 
 
-def _newlines(texts: Column) -> Column:
-    return F.aggregate(texts, F.lit(0), lambda acc, part: acc + X.occurrences(part, "\n"))
-
-
 def first_match_lines(text: Column, hits: Column, pattern: str, most: int) -> Column:
     """Line numbers of the first ``most`` matches, given all matched texts."""
-    gaps = F.split(text, pattern, most + 1)
-    return F.transform(
+    shown = F.least(F.lit(most), F.size(hits))
+    newlines = F.zip_with(
+        F.slice(F.split(text, pattern, most + 1), F.lit(1), shown),
         F.slice(hits, 1, most),
-        lambda _, i: F.lit(1) + _newlines(F.slice(gaps, F.lit(1), i + 1)) + _newlines(F.slice(hits, F.lit(1), i)),
+        lambda gap, hit: F.struct(X.occurrences(gap, "\n").alias("before"), X.occurrences(hit, "\n").alias("inside")),
+    )
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines"))
+    return F.aggregate(
+        newlines,
+        start,
+        lambda acc, x: F.struct(
+            (acc["at"] + x["before"] + x["inside"]).alias("at"),
+            F.array_append(acc["lines"], acc["at"] + x["before"]).alias("lines"),
+        ),
+        lambda acc: acc["lines"],
     )

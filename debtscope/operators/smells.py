@@ -15,6 +15,8 @@ SMELL_TYPE = (
 )
 #: Text that must occur for a pattern to match; spares most files the pattern itself.
 _NEEDED = {
+    "long_param_list": ("def", "func", "public", "private", "protected"),
+    "print_debug": ("(",),
     "duplicate_string": ('"', "'"),
     "bare_except": ("except",),
     "todo_fixme": ("#", "//", "/*"),
@@ -113,22 +115,32 @@ def _smell(key: str, count: Column, lines: Column, formatted=None, details=None)
     return F.when(count > 0, F.struct(*parts).cast(SMELL_TYPE))
 
 
+def _with_defs(files: DataFrame) -> DataFrame:
+    """Add the lines of ``smell_text`` and the places and names of its ``def`` lines.
+
+    The arrays are read inside lambdas, so they are staged: Spark would otherwise be free to
+    inline a column that is named once and compute it again for every element.
+    """
+    text = F.col("smell_text")
+    some = F.contains(text, F.lit("def"))
+    marked = files.withColumn("def_marked", F.when(some, X.marked(text, R.DEF_LINE)).otherwise(text))
+    names = F.regexp_extract_all(text, F.lit(R.DEF_LINE), F.lit(1))
+    return staged(
+        marked,
+        [*files.columns, "def_marked"],
+        advisor=X.advisor_lines(text),
+        def_starts=X.mark_lines(F.split("def_marked", "\n", -1)),
+        def_names=F.when(some, names).otherwise(_no_strings()),
+    )
+
+
 def with_smells(files: DataFrame) -> DataFrame:
     """Add ``smells``: an array in detector order, empty where nothing was found."""
     text = F.col("smell_text")
-    marked = F.when(F.contains(text, F.lit("def")), X.marked(text, R.DEF_LINE)).otherwise(text)
     scanned = files.withColumn("smell_text", F.coalesce("text", F.lit(""))).withColumns(
-        {f"hits_{key}": _hits(key) for key in _REGEX_KEYS} | {"advisor": X.advisor_lines(text), "def_marked": marked}
-    )
-    located = scanned.withColumns(
-        {
-            "def_starts": X.mark_lines(F.split("def_marked", "\n", -1)),
-            "def_names": F.when(
-                F.contains(text, F.lit("def")), F.regexp_extract_all(text, F.lit(R.DEF_LINE), F.lit(1))
-            ).otherwise(_no_strings()),
-        }
+        {f"hits_{key}": _hits(key) for key in _REGEX_KEYS}
     )
-    grouped = located.withColumns({"def_ranges": _def_ranges(), "deep_rows": _deep_rows(text)})
+    grouped = _with_defs(scanned).withColumns({"def_ranges": _def_ranges(), "deep_rows": _deep_rows(text)})
     numbered = F.transform("advisor", lambda line, i: F.struct((i + 1).alias("n"), (F.length(line) > dims.LONG_LINE).alias("long")))
     long_lines = F.transform(F.filter(numbered, lambda x: x["long"]), lambda x: x["n"])
     long_functions = F.filter("def_ranges", lambda r: r["end"] - r["start"] > dims.LONG_FUNCTION)
@@ -158,26 +170,12 @@ def smell_rows(files: DataFrame) -> DataFrame:
 
 def def_range_rows(files: DataFrame) -> DataFrame:
     """``file_id, name, start, end`` of the ranges that smell locations refer to."""
-    text = F.col("text")
-    marked = files.filter(F.contains(text, F.lit("def"))).select("file_id", "text", X.marked(text, R.DEF_LINE).alias("def_marked"))
-    ready = marked.select(
-        "file_id",
-        X.advisor_lines(F.col("text")).alias("advisor"),
-        X.mark_lines(F.split("def_marked", "\n", -1)).alias("def_starts"),
-        F.regexp_extract_all("text", F.lit(R.DEF_LINE), F.lit(1)).alias("def_names"),
-    )
-    return ready.select("file_id", F.inline(_def_ranges()))
+    some = files.filter(F.contains("text", F.lit("def"))).select("file_id", F.col("text").alias("smell_text"))
+    return _with_defs(some).select("file_id", F.inline(_def_ranges()))
 
 
 def deep_line_rows(files: DataFrame) -> DataFrame:
     """``file_id, line, func`` of deeply nested lines, with the enclosing function."""
-    text = F.col("text")
-    deep = files.filter(F.rlike(text, F.lit(R.SMELL_PATTERNS["deep_nesting"])))
-    ready = deep.select("file_id", "text", X.marked(text, R.DEF_LINE).alias("def_marked")).select(
-        "file_id",
-        "text",
-        "def_marked",
-        X.mark_lines(F.split("def_marked", "\n", -1)).alias("def_starts"),
-        F.regexp_extract_all("text", F.lit(R.DEF_LINE), F.lit(1)).alias("def_names"),
-    )
-    return ready.select("file_id", F.inline(_deep_rows(text)))
+    deep = files.filter(F.rlike("text", F.lit(R.SMELL_PATTERNS["deep_nesting"])))
+    located = _with_defs(deep.select("file_id", F.col("text").alias("smell_text")))
+    return located.select("file_id", F.inline(_deep_rows(F.col("smell_text"))))

@@ -380,8 +380,7 @@ def _(spark, sf_dir):
 
 
 def all_functions(spark, sf_dir):
-    files = code(spark, sf_dir)
-    return H.function_rows(files, keep_all=True).join(files.select("file_id", "extractor"), "file_id")
+    return H.function_rows(code(spark, sf_dir), keep_all=True)
 
 
 @query("win_05_braced_end")
