@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from debtscope.functions import regex as R, scores as S, text as X
-from debtscope.functions.stage import staged
+from debtscope.functions.stage import checkpointed, staged
 from debtscope.operators import diagnose as D, hotspots as H, lines as L, profile as P, ranking as K, rollup as U
 from debtscope.operators import smells as M, syntax as A
 from debtscope.operators.matches import match_rows
@@ -543,9 +543,20 @@ def _(spark, sf_dir):
     return report.table_lines(metrics(spark, sf_dir))
 
 
+def code_profile(spark, sf_dir):
+    """Profile of the code corpus, kept once because reports read it in several branches."""
+    return checkpointed(profile(B.code_files(spark, sf_dir)))
+
+
 @query("snk_03_advice_report")
 def _(spark, sf_dir):
-    return advice.report_sections(profile(B.code_files(spark, sf_dir)))
+    return advice.report_sections(code_profile(spark, sf_dir))
+
+
+@query("snk_03_report_problems_and_hotspots")
+def _(spark, sf_dir):
+    """The report without its smell chapter, whose line samples have no SQL equivalent."""
+    return advice.report_sections(code_profile(spark, sf_dir)).filter("section <> 3")
 
 
 @query("snk_04_summary")
@@ -560,4 +571,4 @@ def _(spark, sf_dir):
 
 @query("snk_06_advice")
 def _(spark, sf_dir):
-    return advice.top_file_advice(profile(B.code_files(spark, sf_dir)))
+    return advice.top_file_advice(code_profile(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from debtscope import dims
 from oracles import details  # noqa: F401  (registers its expressions)
-from oracles.base import hits, lookup, q, query, values
+from oracles.base import cte, hits, q, query, values
 from oracles.details import SMELLS
 
 ORACLES: dict[str, str] = {}
@@ -278,3 +278,38 @@ put(
     "metrics",
 )
 ORACLES["snk_05_ranking"] = ORACLES["snk_05_ranking"].replace("\nWITH shown", ",\nshown", 1)
+
+
+def _lines(section: int, item: str, part: int, line: str, source: str) -> str:
+    return f"SELECT repo, path, {_ints('debt_score')}, {section}::BIGINT AS section, ({item})::BIGINT AS item, {part}::BIGINT AS part, {line} AS line FROM {source}"
+
+
+_KEYED = "reported JOIN {} USING (file_id)"
+_WITH_PROBLEMS = "reported WHERE file_id IN (SELECT file_id FROM problems)"
+_WITH_HOTSPOTS = "reported WHERE file_id IN (SELECT file_id FROM hotspots)"
+_TIPS = [(k, d, s[0].replace("▸ ", ""), s[1].replace("▸ ", "")) for k, locale, d, s in dims.ADVICE if locale == "en"]
+_PROBLEM_SOURCE = _KEYED.format(f"(SELECT * FROM problems JOIN ({values(_TIPS, 'key, diagnosis, tip1, tip2')}) USING (key))")
+_HOTSPOT_SOURCE = _KEYED.format("(SELECT file_id, rank, name, line AS line_no, length AS len, complexity AS cc, nesting AS nest FROM hotspots WHERE rank <= 5)")
+_REPORT_LINES = [
+    _lines(0, "-1", 0, "'### 📄 `' || path || '`'", "reported"),
+    _lines(0, "-1", 1, "''", "reported"),
+    _lines(0, "-1", 2, "'**Debt Score:** ' || debt_score::BIGINT || ' | **Complexity:** ' || complexity::BIGINT || ' | **Lines:** ' || total::BIGINT", "reported"),
+    _lines(0, "-1", 3, "''", "reported"),
+    _lines(1, "-1", 0, "'#### Problem Diagnosis'", _WITH_PROBLEMS),
+    _lines(1, "-1", 1, "''", _WITH_PROBLEMS),
+    _lines(1, "rank - 1", 0, "'- ' || CASE WHEN severity > 60 THEN '🔴' ELSE '🟡' END || ' **' || diagnosis || '** (Complexity: ' || value_text || ')'", _PROBLEM_SOURCE),
+    _lines(1, "rank - 1", 1, "'  - ' || tip1", _PROBLEM_SOURCE),
+    _lines(1, "rank - 1", 2, "'  - ' || tip2", _PROBLEM_SOURCE),
+    _lines(2, "-1", 0, "'#### Complexity Hotspot Functions'", _WITH_HOTSPOTS),
+    _lines(2, "-1", 1, "''", _WITH_HOTSPOTS),
+    _lines(2, "-1", 2, "'| Function | Line | CC | Lines | Nesting |'", _WITH_HOTSPOTS),
+    _lines(2, "-1", 3, "'| --- | ---: | ---: | ---: | ---: |'", _WITH_HOTSPOTS),
+    _lines(
+        2, "rank - 1", 0,
+        "'| `' || name || '()` | L' || line_no::BIGINT || ' | ' || cc::BIGINT || ' | ' || len::BIGINT || ' | ' || nest::BIGINT || ' |'", _HOTSPOT_SOURCE,
+    ),
+    _lines(4, "-1", 0, "'---'", "reported"),
+    _lines(4, "-1", 1, "''", "reported"),
+]
+cte("reported", _REPORTED, *_REPORT_DEPS)
+put("snk_03_report_problems_and_hotspots", " UNION ALL ".join(_REPORT_LINES), "reported")
