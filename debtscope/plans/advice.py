@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from debtscope import dims
 from debtscope.functions import scores as S
+from debtscope.functions.stage import checkpointed
 from debtscope.operators import ranking
 from debtscope.operators.diagnose import with_advice, with_labels
 
@@ -66,9 +67,10 @@ def _titles(rows: DataFrame, section: int, key: str, locale: str, wrap=lambda la
 def top_file_advice(profile: DataFrame, show_all: bool = False, locale: str = "en", most: int = ranking.ADVISED_FILES) -> DataFrame:
     """Advice for the first five of the top ten: problems, hotspots and smells as text lines.
 
-    The files are ranked first, so only their rows are expanded.
+    The files are ranked first and kept, so the profile is read once and only their rows are
+    expanded.
     """
-    top = ranking.top_files(profile, show_all).orderBy(*ranking.by_debt()).limit(most)
+    top = checkpointed(ranking.top_files(profile, show_all).orderBy(*ranking.by_debt()).limit(most))
     unit = {"en": " lines", "zh": "行"}[locale]
     depth = {"en": ("nesting ", ""), "zh": ("嵌套", "层")}[locale]
     value = {"en": "value", "zh": "值"}[locale]

@@ -12,7 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.files.maxPartitionBytes": "64m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.session.timeZone": "UTC",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from debtscope import dims
-from oracles.base import WS, cte, hits, lead, newlines, q, strip
+from oracles.base import cte, hits, lead, newlines, q, strip
 
 cte(
     "advisor",
