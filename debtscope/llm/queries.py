@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debtscope.llm import bpe, langid, quality, secret_scan, toxicity
+from debtscope.llm import bpe, decontamination, langid, quality, secret_scan, sharding, toxicity
 from debtscope.llm.common import held_out, table
 
 #: Vocabulary file of the encoding query and stage.
@@ -27,6 +27,27 @@ def _scored(spark: SparkSession, sf_dir: str, name: str, operator) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= operator.THRESHOLD).cast("int"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a benchmark window, and the items they come from."""
+    own = decontamination.blocks(table(spark, sf_dir, "benchmark"))
+    found = table(spark, sf_dir, "documents").select("doc_id", decontamination.find(F.col("text"), own).alias("found"))
+    items = F.array_sort(F.array_distinct(F.filter(F.col("found.matches.item"), lambda x: x.isNotNull())))
+    found = found.select("doc_id", "found.n_words", "found.n_hit", items.alias("items"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document."""
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; the digests are taken of ids and decoded text."""
     documents = table(spark, sf_dir, "documents")
@@ -77,6 +98,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
@@ -84,4 +107,4 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_sharding": sharding.ORACLE}

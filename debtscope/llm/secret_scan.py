@@ -36,6 +36,7 @@ MAX_ROWS, AROUND, WINDOWS = 1200, 120, 3
 WORDS = 256
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
+_DIGIT = re.compile(r"\d")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 _SHAPES = 8 * 8 * 2 + len(_MARKS) + 1
 O, B, I = 0, 1, 2
@@ -64,7 +65,10 @@ def shape(token: str) -> int:
     first = token[0]
     if not (first.isalnum() or first == "_"):
         return 128 + (_MARKS.find(first) + 1)
-    kinds = (token != token.upper()) + 2 * (token != token.lower()) + 4 * any(c.isdigit() for c in token[:64])
+    if token.isalpha():
+        kinds = 1 if token.islower() else 2 if token.isupper() else 3
+    else:
+        kinds = (token != token.upper()) + 2 * (token != token.lower()) + 4 * (_DIGIT.search(token) is not None)
     length = bisect_right((2, 4, 8, 12, 16, 24, 40), len(token))
     return kinds * 16 + length * 2 + (HEX.fullmatch(token) is not None)
 
