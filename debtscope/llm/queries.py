@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debtscope.llm import bpe, decontamination, langid, quality, secret_scan, sharding, toxicity
+from debtscope.llm import bpe, decontamination, langid, neighbours, quality, secret_scan, sharding, toxicity
 from debtscope.llm.common import held_out, table
 
 #: Vocabulary file of the encoding query and stage.
@@ -65,6 +65,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, "toxic", toxicity)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text, learned from the labels outside the held-out fold."""
     return _scored(spark, sf_dir, "quality", quality)
@@ -102,6 +107,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_neighbours": op5_neighbours,
     "op6_quality": op6_quality,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
