@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debtscope.llm import bpe, quality, secret_scan
+from debtscope.llm import bpe, decontamination, jaccard, quality, secret_scan
 from debtscope.llm.common import batched, saved, table
 from debtscope.llm.queries import VOCABULARY, _labels
 
@@ -19,6 +19,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.train(docs, _labels(spark, sf_dir, "quality")))
 
 
+def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that near-copy links connect."""
+    batched(spark)
+    return jaccard.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark window."""
+    batched(spark)
+    return decontamination.remove(docs, decontamination.blocks(table(spark, sf_dir, "benchmark")))
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts by a mark; no document is dropped."""
     batched(spark)
@@ -37,6 +49,8 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", similar_stage),
+    ("benchmark decontamination", benchmark_stage),
     ("secret scans", secrets_stage),
     ("BPE encoding", tokens_stage),
 ]

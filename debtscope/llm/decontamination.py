@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from debtscope.llm.words import ALPHANUMERIC, word_hashes
+
 #: Words of a window; an item of fewer words is one window as a whole.
 WINDOW = 10
 #: Most bytes of benchmark text that are broadcast at once; one longer item is a block of its own.
@@ -25,35 +27,6 @@ BLOCK_BYTES = 8 << 20
 
 MATCHES = "array<struct<item:string,item_word:int,doc_word:int,n_words:int>>"
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in a row, and the number of words of each text.
-
-    A-Z are lower-cased; words are runs of ASCII letters and digits and of everything beyond ASCII.
-    """
-    data = [text.encode("utf-8") for text in texts]
-    raw = _LOWER[np.frombuffer(b"\0".join(data) + b"\0", np.uint8)]
-    inside = _WORD[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    bounds = np.cumsum([len(x) + 1 for x in data]) if data else np.zeros(0, int)
-    counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    size = ends - starts
-    powers = np.cumprod(np.full(int(size.max()) + 1, _BASE, np.uint64))
-    letters = raw[inside].astype(np.uint64) + np.uint64(1)
-    first = np.cumsum(size) - size
-    place = np.arange(len(letters)) - np.repeat(first, size)
-    hashes = np.add.reduceat(letters * powers[place], first)
-    hashes ^= hashes >> np.uint64(31)
-    return hashes, counts
-
 
 @dataclass(frozen=True)
 class Block:
@@ -69,7 +42,7 @@ class Block:
 
 def block(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> Block:
     """A block of items; items without words have no window."""
-    hashes, counts = word_hashes([text or "" for _, text in rows])
+    hashes, counts = word_hashes([text or "" for _, text in rows], ALPHANUMERIC)
     vocabulary = np.unique(hashes)
     numbers = np.searchsorted(vocabulary, hashes) + 1
     ends = np.cumsum(counts)
@@ -111,7 +84,7 @@ def _narrow(text: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarr
 
 def search(texts: list[str], own: Block) -> tuple[np.ndarray, np.ndarray]:
     """Number of words of each text, and all maximal matches as rows (text, item, item word, text word, words)."""
-    hashes, counts = word_hashes(texts)
+    hashes, counts = word_hashes(texts, ALPHANUMERIC)
     none = np.zeros((0, 5), np.int64)
     needs = np.where(own.sizes >= own.window, own.window, own.sizes)
     if not len(hashes) or not (needs > 0).any():

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from debtscope.llm.common import saved
 
 #: Tables, and buckets a query looks into in each of them.
-TABLES, PROBES = 8, 10
+TABLES, PROBES = 8, 12
 #: Neighbours per query.
 NEAREST = 10
 #: Rows of a bucket's part, and queries of a part, on average.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debtscope.llm import bpe, decontamination, langid, neighbours, quality, secret_scan, sharding, toxicity
+from debtscope.llm import bpe, decontamination, jaccard, langid, neighbours, quality, secret_scan, sharding, toxicity
 from debtscope.llm.common import held_out, table
 
 #: Vocabulary file of the encoding query and stage.
@@ -75,6 +75,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, "quality", quality)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document."""
+    return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: counts of the base kinds, digest of the base spans and all spans."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -109,6 +114,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_neighbours": op5_neighbours,
     "op6_quality": op6_quality,
+    "op7_jaccard": op7_jaccard,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
 }
