@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debtscope.llm import bpe, decontamination, jaccard, langid, neighbours, quality, secret_scan, sharding, toxicity
+from debtscope.llm import bpe, decontamination, jaccard, langid, neighbours, quality, secret_scan, sharding, suffixes, toxicity
 from debtscope.llm.common import held_out, table
 
 #: Vocabulary file of the encoding query and stage.
@@ -80,6 +80,11 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that long strings found elsewhere cover, and the digest of the rest."""
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: counts of the base kinds, digest of the base spans and all spans."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -115,6 +120,7 @@ QUERIES = {
     "op5_neighbours": op5_neighbours,
     "op6_quality": op6_quality,
     "op7_jaccard": op7_jaccard,
+    "op8_suffixes": op8_suffixes,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
 }
