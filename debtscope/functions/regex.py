@@ -5,7 +5,8 @@ classes, because ``\w``, ``\s`` and ``\d`` mean different things in Java and in
 model the results are defined on (Unicode letters, numbers and underscore; Unicode white
 space including the four separators U+001C..U+001F).  Word boundaries are written as
 look-around on ``\w``.  Quantified groups over arbitrary text are possessive wherever that
-keeps the matches, so that long runs neither backtrack nor grow the Java stack.
+keeps the matches, so that long runs neither backtrack nor grow the Java stack.  A text full of
+openings that are never closed still makes each opening look ahead to the text's end once.
 """
 
 from __future__ import annotations
@@ -126,31 +127,48 @@ DEF_LINE = rx(r"^(?: {4})*def\s+(\w+)\s*\(", "m")
 
 # --- fixed values: function and class patterns per extractor --------------------------------
 
-#: ``(?:(?<!\s)|(?!\s))`` keeps a match from starting inside a run of white space and
-#: ``(?<!\w)`` from starting inside a word; neither changes the leftmost match.
+#: Keeps a match from starting inside a run of white space, which never changes the leftmost match.
 _RUN = r"(?:(?<!\s)|(?!\s))"
 
+
+def _modified(*names: str) -> tuple[str, str]:
+    """Where a definition with modifiers may start, and the modifiers in front of its type and name.
+
+    A run of modifiers is walked possessively, so it costs no stack; only the last words, which
+    may be type and name, are given back.  A match that starts in white space or right behind a
+    modifier would have started earlier, so no other start is tried inside a run.
+    """
+    start = r"(?<!\s)" + "".join(f"(?<!{name})" for name in names)
+    word = f"(?:{'|'.join(names)})++"
+    one = rf"\s*+{word}"
+    ends = rf"(?:{one}(?=\s))"
+    return start, rf"(?:{one}(?=\s++{word}\s++{word}(?!\w)))++{ends}{{0,3}}|{ends}{{1,3}}"
+
+
+_JAVA, _JAVA_MODIFIERS = _modified("public", "private", "protected", "static")
+_SHARP, _SHARP_MODIFIERS = _modified("public", "private", "protected", "internal", "static", "async", "virtual", "override")
+
 FUNCTION_PATTERNS = {
-    "Python": rx(r"^ *(?:async\s+)?def\s+(\w+)\s*\([^)]*\)", "m"),
+    "Python": rx(r"^ *+(?:async\s++)?+def\s++(\w++)\s*+\([^)]*+\)", "m"),
     "JavaScript": rx(
-        r"function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>)"
+        r"function\s++(\w++)|(?:const|let|var)\s++(\w++)\s*+=\s*+(?:async\s++)?+(?:function|\([^)]*+\)\s*+=>)"
     ),
     "TypeScript": rx(
-        r"function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*(?::\s*[^=]+)?\s*="
-        r"|(?<!\w)(\w+)\s*\([^)]*\)\s*(?::\s*\w+)?\s*\{"
+        r"function\s++(\w++)|(?:const|let|var)\s++(\w++)\s*+(?::[^=]++)?+="
+        r"|(?<!\w)(\w++)\s*+\([^)]*+\)\s*+(?::\s*+\w++)?+\s*+\{"
     ),
     "Java": rx(
-        _RUN + r"(?:(?:\s*(?:public|private|protected|static))+\s+|\s{2,}+)"
-        r"\w+(?:<[^>]*>)?\s+(\w+)\s*\([^)]*\)\s*+(?:throws\s+[\w,\s]+)?\{"
+        _JAVA + rf"(?:(?:{_JAVA_MODIFIERS})\s++|\s{{2,}}+)"
+        r"\w++(?:<[^>]*+>)?+\s++(\w++)\s*+\([^)]*+\)\s*+(?:throws\s++[\w,\s]++)?+\{"
     ),
-    "C": rx(r"^\w[\w\s\*]+\s+(\w+)\s*\([^)]*\)\s*\{", "m"),
-    "C++": rx(r"(?<!\w)(?:[\w:]+\s+)?(\w+)\s*\([^)]*\)\s*+(?:const\s*+)?(?:override\s*+)?\{"),
+    "C": rx(r"^\w(?=[\w\s\*]++\([^)]*+\)\s*+\{)[\w\s\*]+\s+(\w+)\s*+\([^)]*+\)\s*+\{", "m"),
+    "C++": rx(r"(?<!\w)(?:[\w:]++\s++)?(\w++)\s*+\([^)]*+\)\s*+(?:const\s*+)?+(?:override\s*+)?+\{"),
     "C#": rx(
-        _RUN + r"(?:(?:\s*(?:public|private|protected|internal|static|async|virtual|override))+\s+|\s{2,}+)"
-        r"\w+(?:<[^>]*>)?\s+(\w+)\s*\([^)]*\)"
+        _SHARP + rf"(?:(?:{_SHARP_MODIFIERS})\s++|\s{{2,}}+)"
+        r"\w++(?:<[^>]*+>)?+\s++(\w++)\s*+\([^)]*+\)"
     ),
-    "PHP": rx(_RUN + r"(?:\s*(?:public|private|protected|static))*\s*function\s+(\w+)\s*\([^)]*\)"),
-    "Go": rx(r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*\([^)]*\)"),
+    "PHP": rx(_JAVA + r"(?:\s*+(?:public|private|protected|static))*+\s*+function\s++(\w++)\s*+\([^)]*+\)"),
+    "Go": rx(r"func\s++(?:\([^)]*+\)\s*+)?+(\w++)\s*+\([^)]*+\)"),
     "Rust": rx(r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"),
     "Kotlin": rx(r"(?:fun|suspend\s+fun)\s+(\w+)\s*\("),
     "Lua": rx(r"(?:local\s+)?function\s+(\w+)\s*\(|(?<!\w)(\w+)\s*=\s*function\s*\("),

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -35,6 +36,7 @@ WORDS = [
     "function ", "const ", "let ", "x", " = ", "=>", "fn ", "pub ", "func ", "fun ", "suspend ", "def ", "class ", "abstract ", "struct ",
     "object ", "local ", '"', "'", "\\", "if ", "&&", "a&&b", "else", "#", "://", "a::b ", "throws E ", "const", "override", "List<T> ", "(r *T) ",
     "foo(a) {", "x(b) {\n", "int bar(c) {\n", "\ndef f(a):\n", "\n    async def g(\nb):\n", "\n        if x:\n", "\n# c\n", "\nclass K:\n",
+    "public static ", "static static public foo() {", "static  ", "staticpublic ", "public static static(a) {",
 ]
 KEYWORDS = re.compile(r"\b(?:if|else|elif|for|while|switch|case|catch|except|try|and|or|&&|\|\|)\b")
 
@@ -137,3 +139,20 @@ def test_only_hotspots_are_kept_most_complex_first(sources):
 def test_white_space_and_word_runs_stay_fast(sources):
     texts = {"a.java": " " * 50_000, "b.php": " " * 50_000, "c.cs": "\n" * 50_000, "d.ts": "x" * 50_000, "e.cpp": "x" * 50_000}
     assert function_rows(sources(texts), keep_all=True).count() == 0
+
+
+def test_long_runs_cost_neither_stack_nor_time(sources):
+    texts = {
+        "a.php": "static " * 150_000, "b.java": "public " * 150_000, "c.cs": "async " * 170_000, "d.java": "publicstatic" * 80_000,
+        "e.c": "alpha beta gamma delta epsilon\n" * 1_500, "f.ts": "const x: foo bar\n" * 3_000, "g.cpp": "foo(a, b\n" * 3_000,
+        "h.py": "def f(\n" * 3_000,
+    }
+    start = time.perf_counter()
+    assert function_rows(sources(texts), keep_all=True).count() == 0
+    assert time.perf_counter() - start < 120
+
+
+def test_last_modifiers_may_be_type_and_name(sources):
+    texts = {"a.java": "public " * 5_000 + "foo() {\n}", "b.cs": "static " * 5_000 + "(a)", "c.php": "public " * 5_000 + "function f()"}
+    found = {r["file_id"]: r["name"] for r in function_rows(sources(texts), keep_all=True).collect()}
+    assert found == {"a.java": "foo", "b.cs": "static", "c.php": "f"}
