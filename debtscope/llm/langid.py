@@ -103,7 +103,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: in
             embed[buckets] -= now * np.minimum(1.0, shares * 40)[:, None] * back
             done += 1
     table = (embed @ out).astype(np.float32)
-    scores = np.array([s @ table[b] + bias for b, s in rows]).reshape(len(rows), -1)
+    scores = np.array([s @ table[b] + bias for b, s in rows]).reshape(len(rows), len(bias))
     test = np.flatnonzero(kept)
     temperature, threshold = 1.0, 0.0
     if len(test) and len(languages) > 1:
