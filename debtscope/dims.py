@@ -202,6 +202,11 @@ def label_rows() -> list[tuple[str, str, str]]:
     return rows + [(key, "zh", diagnosis) for key, locale, diagnosis, _ in ADVICE if locale == "zh"]
 
 
+def spoken(locale: str) -> str:
+    """The locale whose texts are shown: a locale without any text falls back to English."""
+    return locale if any(own == locale for _, own, _ in label_rows()) else "en"
+
+
 def labels(spark: SparkSession) -> DataFrame:
     """``label_dim``: display text per key and locale."""
     return local_table(spark, label_rows(), "key string, locale string, text string")

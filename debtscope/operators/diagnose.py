@@ -63,8 +63,8 @@ def problem_rows(metrics: DataFrame) -> DataFrame:
 
 
 def with_advice(problem: DataFrame, locale: str = "en", most: int = 2) -> DataFrame:
-    """Join diagnosis and the first suggestions; an unknown key shows as itself."""
-    texts = dims.advice(problem.sparkSession).filter(F.col("locale") == locale).drop("locale")
+    """Join diagnosis and the first suggestions, in English for an unknown locale; an unknown key shows as itself."""
+    texts = dims.advice(problem.sparkSession).filter(F.col("locale") == dims.spoken(locale)).drop("locale")
     joined = problem.join(F.broadcast(texts), "key", "left")
     return joined.withColumns(
         {

@@ -46,8 +46,8 @@ def top_files_per_repo(metrics: DataFrame, show_all: bool = False, most: int = T
 
 
 def exempt_files(metrics: DataFrame, show_all: bool = False) -> DataFrame:
-    """Exempt files with more debt than the display limit."""
-    return displayed(metrics, show_all).filter(F.col("is_exempt") & (F.col("debt_score") > EXEMPT_DEBT))
+    """Exempt files with more debt than the display limit, most debt first."""
+    return displayed(metrics, show_all).filter(F.col("is_exempt") & (F.col("debt_score") > EXEMPT_DEBT)).orderBy(*by_debt())
 
 
 def with_display(metrics: DataFrame) -> DataFrame:

@@ -36,8 +36,9 @@ def _function_items(profile: DataFrame, most: int) -> DataFrame:
 
 def _smell_items(profile: DataFrame, most: int, locale: str) -> DataFrame:
     rows = profile.select(*KEYS, F.posexplode(F.slice("smells", 1, most)).alias("item", "s")).select(*KEYS, "item", "s.*")
-    names = dims.smells(profile.sparkSession).filter(F.col("locale") == locale)
-    return rows.join(F.broadcast(names.select("key", "display_name", "suggestion")), "key")
+    names = dims.smells(profile.sparkSession).filter(F.col("locale") == dims.spoken(locale))
+    named = rows.join(F.broadcast(names.select("key", "display_name", "suggestion")), "key", "left")
+    return named.withColumns({"display_name": F.coalesce("display_name", "key"), "suggestion": F.coalesce("suggestion", F.lit(""))})
 
 
 def _parts(rows: DataFrame, section: int, lines: list[Column], tail: Column | None = None) -> DataFrame:
@@ -70,6 +71,7 @@ def top_file_advice(profile: DataFrame, show_all: bool = False, locale: str = "e
     The files are ranked first and kept, so the profile is read once and only their rows are
     expanded.
     """
+    locale = dims.spoken(locale)
     top = checkpointed(ranking.top_files(profile, show_all).orderBy(*ranking.by_debt()).limit(most))
     unit = {"en": " lines", "zh": "行"}[locale]
     depth = {"en": ("nesting ", ""), "zh": ("嵌套", "层")}[locale]
@@ -122,8 +124,7 @@ def reported(profile: DataFrame) -> DataFrame:
 
 def report_sections(profile: DataFrame, locale: str = "en") -> DataFrame:
     """Per-file report lines of every reported file, unsorted."""
-    files = reported(profile)
-    spark = profile.sparkSession
+    files, locale = reported(profile), dims.spoken(locale)
     label = dict((k, t) for k, loc, t in dims.label_rows() if loc == "en")
     label.update((k, t) for k, loc, t in dims.label_rows() if loc == locale)
     head = files.withColumn("item", F.lit(-1))
@@ -153,10 +154,7 @@ def report_sections(profile: DataFrame, locale: str = "en") -> DataFrame:
                " | ", _as_text("nesting"), " |")],
     )
     header = [label[k] for k in ("function_name", "line_no")] + ["CC", label["lines"], label["nesting"]]
-    smells = _smell_items(files, 5, locale).join(
-        F.broadcast(dims.labels(spark).filter(F.col("locale") == locale).select("key", F.col("text").alias("smell_label"))),
-        "key",
-    )
+    smells = with_labels(_smell_items(files, 5, locale), locale).withColumnRenamed("label", "smell_label")
     tip = F.when(F.col("suggestion") != "", F.concat(F.lit(" → "), F.col("suggestion"))).otherwise("")
     smell_lines = _parts(
         smells, 3,

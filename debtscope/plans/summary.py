@@ -22,12 +22,13 @@ def verdict(metrics: DataFrame, locale: str = "en", *by: str) -> DataFrame:
 
 
 def ranking_rows(metrics: DataFrame, show_all: bool = False, most: int = ranking.TOP_FILES) -> DataFrame:
-    """Top files and then exempt files, with labels and bands."""
+    """Top files and then exempt files, each by debt, with labels and bands."""
     top = ranking.top_files(metrics, show_all, most).withColumn("section", F.lit("top"))
     exempt = ranking.exempt_files(metrics, show_all).withColumn("section", F.lit("exempt"))
     both = ranking.with_display(top.unionByName(exempt))
     suffix = F.when(F.col("section") == "exempt", F.concat("path", F.lit(" [Exempt]"))).otherwise(F.col("shown_path"))
-    return both.withColumn("shown_path", suffix).select(
+    ordered = both.withColumn("shown_path", suffix).orderBy(F.col("section") == "exempt", *ranking.by_debt())
+    return ordered.select(
         "section", "debt_score", "quality_text", "complexity_label", "imports", "total", "shown_path", "debt_band",
         "quality_band", "repo", "path",
     )

@@ -28,8 +28,57 @@ def with_file_id(files: DataFrame) -> DataFrame:
     return files.withColumn("file_id", F.md5(F.concat_ws("\x1f", "repo", "path")))
 
 
+def _entries(root: str, below: str) -> tuple[list[str], list[str]]:
+    """Directories to enter and files of one directory; ignored directories, links to directories and unreadable ones are skipped."""
+    folders, files = [], []
+    try:
+        with os.scandir(os.path.join(root, below)) as entries:
+            for entry in entries:
+                path = f"{below}/{entry.name}" if below else entry.name
+                if entry.is_dir():
+                    if entry.name not in dims.IGNORED_DIRS and not entry.is_symlink():
+                        folders.append(path)
+                elif entry.is_file():
+                    files.append(path)
+    except OSError:
+        pass
+    return folders, files
+
+
+def list_directory(roots: DataFrame, levels: int = 2) -> DataFrame:
+    """``repo, root, path`` of every file below the roots (``repo, root``), without the ignored directories.
+
+    The first levels are listed one by one, each level's directories dealt out anew, so that one
+    large root is walked by many tasks; below them a task walks on by itself.  Ignored
+    directories are never entered.  ``root`` must be a mount that every executor sees.
+    """
+
+    def step(walk: bool):
+        def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    waiting = [row.path]
+                    while waiting:
+                        folders, files = _entries(row.root, waiting.pop())
+                        found = [(path, False) for path in files] + ([] if walk else [(path, True) for path in folders])
+                        waiting += folders if walk else []
+                        out = pd.DataFrame(found, columns=["path", "folder"])
+                        yield out.assign(repo=row.repo, root=row.root)[["repo", "root", "path", "folder"]]
+
+        return listed
+
+    schema = "repo string, root string, path string, folder boolean"
+    waiting, files = roots.select("repo", "root", F.lit("").alias("path")), None
+    for level in range(levels + 1):
+        found = waiting.repartition("root", "path").mapInPandas(step(level == levels), schema)
+        own = found.filter(~F.col("folder")).drop("folder")
+        files = own if files is None else files.unionByName(own)
+        waiting = found.filter("folder").drop("folder")
+    return files
+
+
 def read_directory(paths: DataFrame) -> DataFrame:
-    """Open every file of a table ``repo, root, path`` on the executors.
+    """Open every file of a table ``repo, root, path`` (see :func:`list_directory`) on the executors.
 
     Spark's own file sources skip names that start with ``_`` or ``.`` and so lose
     ``__init__.py``; a table of paths with a small reader per batch does not.  ``root`` must be

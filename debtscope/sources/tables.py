@@ -2,8 +2,8 @@
 
 ``lineitem`` rows become lines of code, ``documents``, ``pages`` and ``conversations`` become
 text and HTML files.  A code file collects the rows that share a slot; the slot mixes all four
-key columns, so no single part, supplier or order can fill a file however many rows it has,
-and equal rows collapse inside the map-side set before the shuffle.
+key columns, so no single part, supplier or order can fill a file however many rows it has.  The
+number of slots follows the number of rows, so one more row deals the rows to other files.
 """
 
 from __future__ import annotations
@@ -75,8 +75,11 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = local_table(spark, [(t.family, t.k, t.body) for t in T.TEMPLATES], "family string, k int, body string")
     token = F.concat(F.lit("r"), F.concat_ws("_", *KEYS))
     rows = code_rows(spark, sf_dir).join(F.broadcast(bodies), ["family", "k"])
-    line = F.struct(*KEYS, F.replace("body", F.lit("@"), token).alias("body"))
-    grouped = rows.groupBy("file_id", "ext").agg(F.sort_array(F.collect_set(line)).alias("rows"))
+    # repeated rows are counted first, so they meet in the map tasks and come out as often as they went in
+    rows = rows.withColumn("body", F.replace("body", F.lit("@"), token))
+    rows = rows.groupBy("file_id", "ext", *KEYS, "body").count()
+    line = F.struct(*KEYS, F.array_join(F.array_repeat("body", F.col("count").cast("int")), "\n").alias("body"))
+    grouped = rows.groupBy("file_id", "ext").agg(F.sort_array(F.collect_list(line)).alias("rows"))
     return staged(
         grouped,
         ["file_id"],

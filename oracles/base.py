@@ -93,7 +93,7 @@ cte(
     "slotted",
     """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey,
        (l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 1299709 + l_linenumber::BIGINT * 15485863) % (SELECT s FROM slots) AS slot
-       FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem)""",
+       FROM lineitem""",
     "slots",
 )
 _EXT = f"({q(T.EXTENSIONS)})[(file_id % {len(T.EXTENSIONS)} + 1)::INT]"

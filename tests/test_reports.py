@@ -2,12 +2,15 @@
 
 import csv
 import glob
+import os
 
 import pytest
 
+from debtscope import dims
 from debtscope.plans import advice, report
 from debtscope.plans.profile_table import read_profile, write_profile
-from debtscope.sources.corpus import read_corpus, read_directory
+from debtscope.sources import tables
+from debtscope.sources.corpus import list_directory, read_corpus, read_directory
 
 BUSY = "def busy(a):\n" + "    if a and b:\n        print(a)\n" * 12 + "x = 4711  # TODO: name\n"
 
@@ -88,3 +91,34 @@ def test_top_file_advice_lines(profiled):
 def test_read_profile(spark, profiled, tmp_path):
     profiled.write.parquet(str(tmp_path / "p"))
     assert read_profile(spark, str(tmp_path / "p")).count() == 6
+
+
+def test_directory_lister_equals_a_plain_walk(spark, tmp_path):
+    names = ["a.py", "_x/.hid.js", "p/__init__.py", "p/q/r/s/deep.py", "build/no.py", "p/node_modules/no.js", "p/q/r/.git/no", "p/q/build.py", "p/q/r/s/t/u.c"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "p" / "empty").mkdir()
+    roots = spark.createDataFrame([("r", str(tmp_path)), ("gone", str(tmp_path / "none"))], "repo string, root string")
+    expected = []
+    for folder, below, files in os.walk(tmp_path):
+        below[:] = [d for d in below if d not in dims.IGNORED_DIRS]
+        expected += [os.path.relpath(os.path.join(folder, f), tmp_path) for f in files]
+    found = list_directory(roots).collect()
+    assert sorted(r["path"] for r in found) == sorted(expected) and {r["repo"] for r in found} == {"r"}
+    assert {r["path"] for r in read_directory(list_directory(roots)).collect()} == set(expected)
+
+
+def test_a_missing_locale_falls_back_to_english(profiled):
+    for report_of in (advice.report_sections, advice.top_file_advice):
+        english, other = (sorted(map(tuple, report_of(profiled, locale=x).collect()), key=repr) for x in ("en", "fr"))
+        assert english and english == other
+
+
+def test_repeated_line_items_are_kept(spark, tmp_path):
+    rows = tables.table(spark, "/root/testdata/sf0.001", "lineitem").select(*tables.KEYS).limit(1).collect()
+    contents = []
+    for times in (1, 3):
+        spark.createDataFrame(rows * times).write.parquet(f"{tmp_path}/{times}/lineitem.parquet")
+        contents.append(tables.code_files(spark, f"{tmp_path}/{times}").first()["content"])
+    assert contents[1] == "\n".join([contents[0]] * 3)
