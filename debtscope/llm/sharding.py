@@ -39,10 +39,7 @@ def directory(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
         # a cell and its up to STEP prefixes; at most 2^STEP cells share the prefix they split from
         fits = None
         for bits in range(depth, depth + ahead + 1):
-            within = F.sum("own").over(Window.partitionBy(F.substring("cell", 1, bits)))
-            cells = cells.withColumn(f"at{bits}", within) if bits > 0 else cells.crossJoin(
-                F.broadcast(pending.agg(F.sum("bytes").alias("at0")))  # one row
-            )
+            cells = cells.withColumn(f"at{bits}", F.sum("own").over(Window.partitionBy(F.substring("cell", 1, bits))))
             small = F.when(F.col(f"at{bits}") <= limit, F.struct(F.lit(bits).cast("long").alias("depth"), F.col(f"at{bits}").alias("shard_bytes")))
             fits = small if fits is None else F.coalesce(fits, small)
         last = depth + ahead
