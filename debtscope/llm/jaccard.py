@@ -7,7 +7,7 @@ the matrix.
 * Groups: nodes that share rare tokens are compared with one leader per token, chosen anew each
   round; verified links make groups, whose members are all connected already.
 * Matrix: the union of a group's rare tokens, as rows (token, group), beside a bit sketch of the
-  union of its whole sets.
+  union of its whole sets.  A second sketch, of odd counts, bounds how alike two nodes can be.
 * Queries: a node that shares a token with another group bounds its overlap with that group's
   union by the sketch; only qualifying groups are opened, and members that share a token with
   the query are verified exactly.  Of two groups the smaller one asks.
@@ -33,8 +33,10 @@ from debtscope.llm.words import UNSPACED, word_hashes
 WIDTH, PERCENT = 5, 80
 #: Counters of the token histogram that orders tokens from rare to frequent.
 COUNTERS = 1 << 16
-#: Longs of a set's bit sketch.
-SKETCH = 16
+#: Longs of the two bit sketches of a set: which counters its tokens meet, and which they meet an odd number of times.
+SKETCH, ODD = 16, 32
+#: Most keys that are broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 #: Rounds of comparing with leaders before the matrix is built.
 ROUNDS = 2
 
@@ -108,20 +110,23 @@ def node_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             out = []
             for tokens in shingle_sets([x or "" for x in batch["text"]]):
-                n, rare = len(tokens), None
+                n, rare, bits, odd = len(tokens), None, None, None
                 k = node_key(tokens) if n else None
                 if n and k not in seen:
                     seen.add(k)
                     order = np.argsort(counts[(tokens >> np.uint64(48)).astype(np.int64)], kind="stable")
                     rare = tokens[order[: n - least_overlap(n) + 1]].view(np.int64)
-                out.append((n, k, rare))
+                    bits, odd = sketches(tokens)
+                out.append((n, k, rare, bits, odd))
             frame = batch[["doc_id", "place", "whole"]].copy()
-            frame["n"], frame["rare"] = [x[0] for x in out], [x[2] for x in out]
+            frame["n"] = [x[0] for x in out]
+            for i, name in enumerate(("rare", "bits", "odd"), 2):
+                frame[name] = [x[i] for x in out]
             frame["k"] = pd.array([x[1] for x in out], dtype="Int64")
             yield frame
 
     rows = documents.select("doc_id", _place().alias("place"), F.xxhash64("text").alias("whole"), "text")
-    return _batches(rows, build, "doc_id long, place long, whole long, n long, k long, rare array<long>")
+    return _batches(rows, build, "doc_id long, place long, whole long, n long, k long, rare array<long>, bits array<long>, odd array<long>")
 
 
 def _place() -> Column:
@@ -129,21 +134,41 @@ def _place() -> Column:
     return F.coalesce(F.col("doc_id"), F.xxhash64("text"))
 
 
+def sketches(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counters that a set's tokens meet, and counters that they meet an odd number of times, as bits of longs."""
+    met = np.bincount((tokens & np.uint64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) > 0
+    odd = np.bincount(((tokens >> np.uint64(16)) & np.uint64(ODD * 64 - 1)).astype(np.int64), minlength=ODD * 64) & 1
+    return tuple(np.packbits(x.astype(np.uint8), bitorder="little").view(np.int64) for x in (met, odd))
+
+
 def node_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``k``, ``tokens`` and ``sketch`` of the nodes in ``wanted`` (``k``, ``place``)."""
+    """``k`` and ``tokens`` of the nodes in ``wanted`` (``k``, ``place``); only their texts are read again."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, tokens in zip(batch["k"], shingle_sets([x or "" for x in batch["text"]])):
                 if len(tokens) and node_key(tokens) == k:
-                    bits = np.zeros(SKETCH * 64, np.uint8)
-                    bits[(tokens & np.uint64(SKETCH * 64 - 1)).astype(np.int64)] = 1
-                    out.append((k, tokens.view(np.int64), np.packbits(bits, bitorder="little").view(np.int64)))
-            yield pd.DataFrame(out, columns=["k", "tokens", "sketch"])
+                    out.append((k, tokens.view(np.int64)))
+            yield pd.DataFrame(out, columns=["k", "tokens"])
 
+    if wanted.count() <= BROADCAST_KEYS:  # two numbers each
+        wanted = F.broadcast(wanted)
     rows = documents.select(_place().alias("place"), "text").join(wanted, "place")
-    return _batches(rows.select("k", "text"), build, "k long, tokens array<long>, sketch array<long>").dropDuplicates(["k"])
+    return _batches(rows.select("k", "text"), build, "k long, tokens array<long>").dropDuplicates(["k"])
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) whose odd counters do not rule out a link.
+
+    Two sets differ in at least as many tokens as counters differ, and linked sets differ in at
+    most a ninth of their tokens (for 80 %: 2 / 18).
+    """
+    left = nodes.select(F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
+    right = nodes.select(F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
+    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    fits = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
+    return pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -171,11 +196,11 @@ def _leaders(matrix: DataFrame, number: int) -> DataFrame:
     return pairs.withColumn("best", best).filter("best = 1").select("a", "b")
 
 
-def _queries(matrix: DataFrame, sets: DataFrame) -> DataFrame:
+def _queries(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of nodes in different groups that may be similar, found through the token-group matrix."""
-    sketches = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    met = [F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH)]
     members = matrix.select("k", "n", "comp").distinct()
-    groups = members.join(sets, "k").select("comp", "k", "n", *sketches).groupBy(F.col("comp").alias("group"))
+    groups = members.join(nodes.select("k", "bits"), "k").select("comp", "k", "n", *met).groupBy(F.col("comp").alias("group"))
     groups = groups.agg(
         F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), *[F.bit_or(f"s{i}").alias(f"u{i}") for i in range(SKETCH)]
     )
@@ -187,7 +212,7 @@ def _queries(matrix: DataFrame, sets: DataFrame) -> DataFrame:
     smaller = F.struct("own_size", "comp") < F.struct("size", "group")
     fits = (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n"))
     asked = asking.join(tokens, "token").filter(smaller & fits).select("k", "n", "group").distinct()
-    asked = asked.join(sets.select("k", *sketches), "k").join(groups.drop("size", "least", "most"), "group")
+    asked = asked.join(nodes.select("k", *met), "k").join(groups.drop("size", "least", "most"), "group")
     missing = sum((F.bit_count(F.col(f"s{i}").bitwiseAND(F.bitwise_not(f"u{i}"))) for i in range(SKETCH)), F.lit(0))
     opened = asked.filter(F.col("n") - missing >= least_overlap_column("n")).select("k", "group")
     left = matrix.select("token", "k", "n").join(opened, "k").withColumnRenamed("k", "a")
@@ -216,8 +241,8 @@ def linked(documents: DataFrame) -> DataFrame:
     tokens = saved(tokens.filter("low < high").select("token", "k", "n").distinct())
     keyed = F.struct(F.col("doc_id").isNull().alias("last"), "place", "whole")
     nodes = rows.filter("k is not null").groupBy("k").agg(F.min("place").alias("place"), F.min(keyed).alias("first"))
-    wanted = nodes.select("k", "place").join(tokens.select("k").distinct(), "k", "left_semi")
-    sets = saved(node_sets(documents, wanted))
+    shared = rows.filter("rare is not null").join(tokens.select("k").distinct(), "k", "left_semi")
+    shared = saved(shared.select("k", "n", "bits", "odd").dropDuplicates(["k"]))
 
     edges, groups = None, None
     for number in range(ROUNDS + 1):
@@ -225,7 +250,10 @@ def linked(documents: DataFrame) -> DataFrame:
         if groups is not None:
             matrix = tokens.join(groups, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
         matrix = saved(matrix) if number == ROUNDS else matrix
-        pairs = _leaders(matrix, number) if number < ROUNDS else _queries(matrix, sets)
+        pairs = _leaders(matrix, number) if number < ROUNDS else _queries(matrix, shared)
+        pairs = saved(plausible(pairs, shared))
+        wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+        sets = saved(node_sets(documents, nodes.select("k", "place").join(wanted, "k")))
         found = saved(verified(pairs, sets))
         if found.isEmpty():
             continue
