@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -16,18 +14,3 @@ def staged(files: DataFrame, keep: list[str], **computed: Column) -> DataFrame:
     """
     row = F.struct(*[value.alias(name) for name, value in computed.items()])
     return files.select(*keep, F.inline(F.array(row)))
-
-
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder named by ``spark.checkpoint.dir``.
-
-    Used where one narrow result feeds several branches of a plan.  A local session without
-    the setting gets a folder of its own; a cluster has to name one that all executors share.
-    """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return rows.checkpoint()

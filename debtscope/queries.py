@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from debtscope.functions import regex as R, scores as S, text as X
-from debtscope.functions.stage import checkpointed, staged
+from debtscope.functions.stage import staged
 from debtscope.operators import diagnose as D, hotspots as H, lines as L, profile as P, ranking as K, rollup as U
 from debtscope.operators import smells as M, syntax as A
 from debtscope.operators.matches import match_rows
@@ -217,7 +217,7 @@ def _(spark, sf_dir):
 
 @query("prj_20_hotspot_bands")
 def _(spark, sf_dir):
-    return H.function_rows(code(spark, sf_dir)).select("file_id", "rank", S.hotspot_band(F.col("complexity")).alias("band"))
+    return H.function_rows(sources(spark, sf_dir)).select("file_id", "rank", S.hotspot_band(F.col("complexity")).alias("band"))
 
 
 @query("prj_21_verdict")
@@ -233,7 +233,7 @@ def _(spark, sf_dir):
 @query("prj_23_hotspot_hint")
 def _(spark, sf_dir):
     hint = S.hint_key(F.col("complexity"), F.col("length"), F.col("nesting"))
-    return H.function_rows(code(spark, sf_dir)).select("file_id", "rank", F.coalesce(hint, F.lit("none")).alias("hint"))
+    return H.function_rows(sources(spark, sf_dir)).select("file_id", "rank", F.coalesce(hint, F.lit("none")).alias("hint"))
 
 
 @query("prj_24_reported_files")
@@ -243,7 +243,7 @@ def _(spark, sf_dir):
 
 @query("prj_25_hotspot_filter")
 def _(spark, sf_dir):
-    return H.function_rows(code(spark, sf_dir)).select("file_id", "name", "line", "length", "complexity")
+    return H.function_rows(sources(spark, sf_dir)).select("file_id", "name", "line", "length", "complexity")
 
 
 @query("prj_26_scoring_population")
@@ -380,18 +380,18 @@ def _(spark, sf_dir):
 
 
 def all_functions(spark, sf_dir):
-    return H.function_rows(code(spark, sf_dir), keep_all=True)
+    return H.function_rows(sources(spark, sf_dir), keep_all=True)
 
 
 @query("win_05_braced_end")
 def _(spark, sf_dir):
-    rows = H.function_rows(code(spark, sf_dir).filter(F.col("extractor") != "Python"), keep_all=True)
+    rows = H.function_rows(sources(spark, sf_dir).filter(F.col("extractor") != "Python"), keep_all=True)
     return rows.select("file_id", "name", "line", (F.col("line") + F.col("length")).alias("end_line"))
 
 
 @query("win_06_indented_end")
 def _(spark, sf_dir):
-    rows = H.function_rows(code(spark, sf_dir).filter(F.col("extractor") == "Python"), keep_all=True)
+    rows = H.function_rows(sources(spark, sf_dir).filter(F.col("extractor") == "Python"), keep_all=True)
     return rows.select("file_id", "name", "line", (F.col("line") + F.col("length")).alias("end_line"))
 
 
@@ -420,7 +420,7 @@ def _(spark, sf_dir):
 
 @query("top_04_functions")
 def _(spark, sf_dir):
-    rows = H.function_rows(code(spark, sf_dir)).filter(F.col("rank") <= 5)
+    rows = H.function_rows(sources(spark, sf_dir)).filter(F.col("rank") <= 5)
     return rows.select("file_id", "rank", "name", "complexity")
 
 
@@ -543,20 +543,15 @@ def _(spark, sf_dir):
     return report.table_lines(metrics(spark, sf_dir))
 
 
-def code_profile(spark, sf_dir):
-    """Profile of the code corpus, kept once because reports read it in several branches."""
-    return checkpointed(profile(B.code_files(spark, sf_dir)))
-
-
 @query("snk_03_advice_report")
 def _(spark, sf_dir):
-    return advice.report_sections(code_profile(spark, sf_dir))
+    return advice.report_sections(profile(B.code_files(spark, sf_dir)))
 
 
 @query("snk_03_report_problems_and_hotspots")
 def _(spark, sf_dir):
     """The report without its smell chapter, whose line samples have no SQL equivalent."""
-    return advice.report_sections(code_profile(spark, sf_dir)).filter("section <> 3")
+    return advice.report_sections(profile(B.code_files(spark, sf_dir))).filter("section <> 3")
 
 
 @query("snk_04_summary")

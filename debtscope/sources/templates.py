@@ -105,6 +105,7 @@ _C_LIKE = _family(
     "class Widget {",
     "private String name(int a, int b) {\n    while (a) { a--; }\n    return b;\n}",
     "fun calc(a: Int) {\n    a = 0x1F2E\n}",
+    "".join("    " * level + "if (a) {\n" for level in range(8)) + "    " * 8 + "b();\n" + "}" * 8,
 )
 _C_LIKE[25] = _C_LIKE[25]._replace(magic=1)
 

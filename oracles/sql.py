@@ -107,7 +107,7 @@ _DEBT_BAND = "CASE WHEN {0} > 80 THEN 'fail' WHEN {0} > 40 THEN 'warn' ELSE 'pla
 _QUALITY_BAND = "CASE WHEN quality_score = -1 THEN 'plain' WHEN quality_score >= 80 THEN 'good' WHEN quality_score >= 50 THEN 'warn' ELSE 'fail' END"
 put("prj_20_bands", f"SELECT file_id, {_DEBT_BAND.format('debt_score')} AS debt_band, {_QUALITY_BAND} AS quality_band FROM metrics", "metrics")
 put("prj_20_severity_bands", "SELECT file_id, key, CASE WHEN severity > 60 THEN 'fail' ELSE 'warn' END AS band FROM problems", "problems")
-put("prj_20_hotspot_bands", "SELECT file_id, rank, CASE WHEN complexity > 15 THEN 'fail' ELSE 'warn' END AS band FROM hotspots JOIN code_src USING (file_id)", "hotspots", "code_src")
+put("prj_20_hotspot_bands", "SELECT file_id, rank, CASE WHEN complexity > 15 THEN 'fail' ELSE 'warn' END AS band FROM hotspots", "hotspots")
 _VERDICT = "CASE WHEN project_index >= 90 THEN 'legendary' WHEN project_index >= 80 THEN 'solid' WHEN project_index >= 65 THEN 'average' WHEN project_index >= 50 THEN 'shaky' ELSE 'toxic' END"
 _INDEX = """SELECT {by} sum(quality_score * code)::BIGINT AS weighted, sum(code)::BIGINT AS weight,
             trunc(sum(quality_score * code) / sum(code))::BIGINT AS project_index
@@ -116,14 +116,14 @@ put("prj_21_verdict", f"SELECT repo, project_index, {_VERDICT} AS verdict FROM (
 _SHOWN = "path || CASE WHEN NOT is_logic AND logic_lines >= 5 THEN ' [JavaScript]' ELSE '' END"
 put("prj_22_shown_path", f"SELECT file_id, {_SHOWN} AS shown_path, {_QUALITY} AS quality_text FROM metrics", "metrics")
 _HINT = "CASE WHEN complexity > 20 THEN 'hint_split' WHEN length > 50 THEN 'hint_extract' WHEN nesting > 4 THEN 'hint_guard' ELSE {} END"
-put("prj_23_hotspot_hint", f"SELECT file_id, rank, {_HINT.format(q('none'))} AS hint FROM hotspots JOIN code_src USING (file_id)", "hotspots", "code_src")
+put("prj_23_hotspot_hint", f"SELECT file_id, rank, {_HINT.format(q('none'))} AS hint FROM hotspots", "hotspots")
 _REPORTED = """SELECT m.* FROM metrics m JOIN code_src USING (file_id)
     WHERE file_id IN (SELECT file_id FROM problems)
        OR (debt_score >= 5 AND file_id IN (SELECT file_id FROM smells UNION SELECT file_id FROM hotspots))"""
 _REPORT_DEPS = ("metrics", "code_src", "problems", "smells", "hotspots")
 put("prj_24_reported_files", f"SELECT file_id, {_ints('debt_score')} FROM ({_REPORTED})", *_REPORT_DEPS)
 _FUNCTION_COLUMNS = "file_id, name, line::BIGINT AS line, length::BIGINT AS length, complexity::BIGINT AS complexity"
-put("prj_25_hotspot_filter", f"SELECT {_FUNCTION_COLUMNS} FROM hotspots JOIN (SELECT file_id FROM code_src) USING (file_id)", "hotspots", "code_src")
+put("prj_25_hotspot_filter", f"SELECT {_FUNCTION_COLUMNS} FROM hotspots", "hotspots")
 put("prj_26_scoring_population", f"SELECT file_id, {_ints('code', 'quality_score')} FROM metrics WHERE quality_score >= 0 AND NOT is_exempt", "metrics")
 
 # --- joins -------------------------------------------------------------------------------------
@@ -187,9 +187,9 @@ put(
     "hits_deep_nesting",
 )
 put("win_04_def_ranges", f"SELECT file_id, name, {_ints('start_line', 'end_line')} FROM def_ranges", "def_ranges")
-_ENDS = "SELECT file_id, name, line::BIGINT AS line, (line + length)::BIGINT AS end_line FROM functions JOIN (SELECT file_id FROM code_src) USING (file_id) WHERE extractor {} 'Python'"
-put("win_05_braced_end", _ENDS.format("<>"), "functions", "code_src")
-put("win_06_indented_end", _ENDS.format("="), "functions", "code_src")
+_ENDS = "SELECT file_id, name, line::BIGINT AS line, (line + length)::BIGINT AS end_line FROM functions WHERE extractor {} 'Python'"
+put("win_05_braced_end", _ENDS.format("<>"), "functions")
+put("win_06_indented_end", _ENDS.format("="), "functions")
 
 # --- rankings ----------------------------------------------------------------------------------
 
@@ -207,8 +207,8 @@ put("top_02_exempt_files", f"SELECT repo, path, {_ints('debt_score')} FROM metri
 put("top_03_languages", f"SELECT lang, files, code, avg_cc FROM ({_TOTALS})", "metrics")
 put(
     "top_04_functions",
-    "SELECT file_id, rank, name, complexity::BIGINT AS complexity FROM hotspots JOIN (SELECT file_id FROM code_src) USING (file_id) WHERE rank <= 5",
-    "hotspots", "code_src",
+    "SELECT file_id, rank, name, complexity::BIGINT AS complexity FROM hotspots WHERE rank <= 5",
+    "hotspots",
 )
 put("top_05_problems", f"SELECT file_id, rank, key, {_ints('severity')} FROM problems", "problems")
 put(
@@ -237,10 +237,9 @@ put("sml_11_long_function", f"SELECT file_id, count, {_joined('lines')}, details
 # --- functions and classes ---------------------------------------------------------------------
 
 put("fn_01_match_rows", "SELECT file_id, (k - 1)::BIGINT AS pos, line::BIGINT AS line, m AS match FROM hits_commented_code", "hits_commented_code")
-_IN_CODE = "FROM functions JOIN (SELECT file_id FROM code_src) USING (file_id)"
-put("fn_02_function_names", f"SELECT file_id, extractor, name, {_ints('line')} {_IN_CODE}", "functions", "code_src")
+put("fn_02_function_names", f"SELECT file_id, extractor, name, {_ints('line')} FROM functions", "functions")
 for _no, _column in ((3, "length"), (4, "complexity"), (5, "nesting")):
-    put(f"fn_{_no:02d}_function_{_column}", f"SELECT file_id, name, {_ints('line', _column)} {_IN_CODE}", "functions", "code_src")
+    put(f"fn_{_no:02d}_function_{_column}", f"SELECT file_id, name, {_ints('line', _column)} FROM functions", "functions")
 put("fn_06_classes", f"SELECT file_id, name, {_ints('line')} FROM class_matches", "class_matches")
 
 # --- diagnosis ---------------------------------------------------------------------------------
