@@ -8,9 +8,9 @@ the matrix.
   round; verified links make groups, whose members are all connected already.
 * Matrix: the union of a group's rare tokens, as rows (token, group), beside a bit sketch of the
   union of its whole sets.  A second sketch, of odd counts, bounds how alike two nodes can be.
-* Queries: a node that shares a token with another group bounds its overlap with that group's
-  union by the sketch; only qualifying groups are opened, and members that share a token with
-  the query are verified exactly.  Of two groups the smaller one asks.
+* Queries: a node that shares a token with another group bounds its overlap with the unions of
+  that group's parts by the sketch; only qualifying parts are opened, and their members are
+  verified exactly.  Of two groups the smaller one asks.
 
 No pair inside a group is looked at again, so groups of many near copies cost no pairs, and no
 link between groups is missed.
@@ -18,6 +18,7 @@ link between groups is missed.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -31,10 +32,15 @@ from debtscope.llm.words import UNSPACED, word_hashes
 
 #: Words of a shingle, and the similarity in hundredths from which on two sets are linked.
 WIDTH, PERCENT = 5, 80
-#: Counters of the token histogram that orders tokens from rare to frequent.
-COUNTERS = 1 << 16
+#: Counters of the token histogram that orders tokens from rare to frequent: one for so many bytes of text, within bounds.
+#: A counter is one byte that stops at 255; with the upper bound they are 64 MB.
+BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 64, 1 << 16, 1 << 26
+#: Counters that travel as one row.
+COUNTER_BLOCK = 1 << 16
 #: Longs of the two bit sketches of a set: which counters its tokens meet, and which they meet an odd number of times.
-SKETCH, ODD = 16, 32
+SKETCH, ODD = 32, 32
+#: Members of a group whose union is looked at together, on average.
+GROUP = 8
 #: Most keys that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Rounds of comparing with leaders before the matrix is built.
@@ -80,26 +86,47 @@ def _batches(frame: DataFrame, of, schema: str) -> DataFrame:
     return frame.mapInPandas(of, schema)
 
 
+def _counter(tokens: np.ndarray, counters: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - (counters - 1).bit_length())).astype(np.int64)
+
+
 def histogram(texts: DataFrame) -> np.ndarray:
-    """Number of tokens per counter over all texts; summed per task first."""
+    """Number of tokens per counter over all texts, up to 255; each task sums its own first.
+
+    The order it gives only decides how fast rare tokens are found: any order finds all links.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (size // BYTES_PER_COUNTER).bit_length()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(counters, np.uint16)
         for batch in batches:
-            for tokens in shingle_sets([x or "" for x in batch["text"]]):
-                total += np.bincount((tokens >> np.uint64(48)).astype(np.int64), minlength=COUNTERS) if len(tokens) > 4096 else 0
-                if len(tokens) <= 4096:
-                    np.add.at(total, (tokens >> np.uint64(48)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"counter": at, "n": total[at]})
-
-    rows = _batches(texts.select("text"), count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
-    out[rows["counter"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+            sets = shingle_sets([x or "" for x in batch["text"]])
+            at, n = np.unique(_counter(np.concatenate([*sets, np.zeros(0, np.uint64)]), counters), return_counts=True)
+            total[at] = np.minimum(255, total[at] + n)
+        for block in range(counters // COUNTER_BLOCK):
+            part = total[block * COUNTER_BLOCK : (block + 1) * COUNTER_BLOCK].astype(np.uint8)
+            if part.any():
+                yield pd.DataFrame({"block": [block], "counts": [zlib.compress(part.tobytes(), 1)]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch["block"], batch["counts"]):
+                own = np.frombuffer(zlib.decompress(counts), np.uint8).astype(np.uint16)
+                sums[block] = np.minimum(255, sums[block] + own) if block in sums else own
+        for block, own in sums.items():
+            yield pd.DataFrame({"block": [block], "counts": [own.astype(np.uint8).tobytes()]})
+
+    parts = _batches(texts.select("text"), count, "block int, counts binary")
+    out = np.zeros(counters, np.uint8)
+    merged = _batches(parts.repartition(counters // COUNTER_BLOCK, "block"), merge, "block int, counts binary")
+    for row in merged.collect():  # one byte per counter
+        out[row["block"] * COUNTER_BLOCK : (row["block"] + 1) * COUNTER_BLOCK] = np.frombuffer(row["counts"], np.uint8)
     return out
 
 
-def node_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
+def node_rows(documents: DataFrame, counts) -> DataFrame:
     """``doc_id``, ``place`` (where the text is found again), ``whole`` (hash of the text), ``n``, ``k`` and the set's rare tokens.
 
     A set that occurs again in the same task leaves out its tokens the second time.
@@ -114,7 +141,7 @@ def node_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                 k = node_key(tokens) if n else None
                 if n and k not in seen:
                     seen.add(k)
-                    order = np.argsort(counts[(tokens >> np.uint64(48)).astype(np.int64)], kind="stable")
+                    order = np.argsort(counts.value[_counter(tokens, len(counts.value))], kind="stable")
                     rare = tokens[order[: n - least_overlap(n) + 1]].view(np.int64)
                     bits, odd = sketches(tokens)
                 out.append((n, k, rare, bits, odd))
@@ -197,31 +224,32 @@ def _leaders(matrix: DataFrame, number: int) -> DataFrame:
 
 
 def _queries(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes in different groups that may be similar, found through the token-group matrix."""
+    """Pairs of nodes in different groups that may be similar, found through the token-group matrix.
+
+    A group is asked as a whole first; its members are then parted so that the union of a part
+    stays tight, and only the parts whose bound reaches the query are opened.
+    """
     met = [F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH)]
-    members = matrix.select("k", "n", "comp").distinct()
-    groups = members.join(nodes.select("k", "bits"), "k").select("comp", "k", "n", *met).groupBy(F.col("comp").alias("group"))
-    groups = groups.agg(
-        F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), *[F.bit_or(f"s{i}").alias(f"u{i}") for i in range(SKETCH)]
-    )
+    members = saved(matrix.select("k", "n", "comp").distinct())
+    groups = members.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
     groups = saved(groups)
-    size = groups.select(F.col("group").alias("comp"), F.col("size").alias("own_size"))
-    asking = matrix.join(size, "comp")
+    asking = matrix.join(groups.select("comp", "size"), "comp")
     tokens = matrix.select("token", F.col("comp").alias("group")).distinct()  # the unions of the groups
-    tokens = tokens.join(groups.select("group", "size", "least", "most"), "group")
-    smaller = F.struct("own_size", "comp") < F.struct("size", "group")
+    named = groups.select(F.col("comp").alias("group"), F.col("size").alias("other_size"), "least", "most")
+    smaller = F.struct("size", "comp") < F.struct("other_size", "group")
     fits = (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n"))
-    asked = asking.join(tokens, "token").filter(smaller & fits).select("k", "n", "group").distinct()
-    asked = asked.join(nodes.select("k", *met), "k").join(groups.drop("size", "least", "most"), "group")
-    missing = sum((F.bit_count(F.col(f"s{i}").bitwiseAND(F.bitwise_not(f"u{i}"))) for i in range(SKETCH)), F.lit(0))
-    opened = asked.filter(F.col("n") - missing >= least_overlap_column("n")).select("k", "group")
-    left = matrix.select("token", "k", "n").join(opened, "k").withColumnRenamed("k", "a")
-    right = matrix.select("token", F.col("k").alias("b"), F.col("n").alias("m"), F.col("comp").alias("group"))
-    return left.join(right, ["token", "group"]).filter(_alike("n", "m")).select("a", "b").distinct()
+    asked = asking.join(tokens.join(named, "group"), "token").filter(smaller & fits).select("k", "n", "group").distinct()
 
-
-def least_overlap_column(n: str) -> Column:
-    return F.floor((PERCENT * F.col(n) + 99) / 100)
+    part = F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / GROUP))
+    parted = saved(members.join(groups.select("comp", "size"), "comp").select("k", F.col("n").alias("m"), F.col("comp").alias("group"), part.alias("part")))
+    unions = parted.join(nodes.select("k", *met), "k").groupBy("group", "part")
+    unions = unions.agg(F.min("m").alias("least"), F.max("m").alias("most"), *[F.bit_or(f"s{i}").alias(f"u{i}") for i in range(SKETCH)])
+    bound = asked.join(nodes.select("k", *met), "k").join(unions, "group").filter(fits)
+    missing = sum((F.bit_count(F.col(f"s{i}").bitwiseAND(F.bitwise_not(f"u{i}"))) for i in range(SKETCH)), F.lit(0))
+    # a link with m tokens needs an overlap of 80 / 180 of n + m
+    reaches = (100 + PERCENT) * (F.col("n") - missing) >= PERCENT * (F.col("n") + F.col("least"))
+    opened = bound.filter(reaches).select(F.col("k").alias("a"), "n", "group", "part")
+    return opened.join(parted.withColumnRenamed("k", "b"), ["group", "part"]).filter(_alike("n", "m")).select("a", "b").distinct()
 
 
 def linked(documents: DataFrame) -> DataFrame:
@@ -234,7 +262,8 @@ def linked(documents: DataFrame) -> DataFrame:
     where all its keys are.  No rows give no rows.
     """
     documents = documents.select("doc_id", "text")
-    rows = saved(node_rows(documents, histogram(documents)))
+    counts = documents.sparkSession.sparkContext.broadcast(histogram(documents))  # at most MOST_COUNTERS bytes
+    rows = saved(node_rows(documents, counts))
     tokens = rows.filter("rare is not null").select("k", "n", F.explode("rare").alias("token"))
     over = Window.partitionBy("token")
     tokens = tokens.withColumn("low", F.min("k").over(over)).withColumn("high", F.max("k").over(over))
