@@ -34,7 +34,7 @@ from debtscope.llm.words import UNSPACED, word_hashes
 WIDTH, PERCENT = 5, 80
 #: Counters of the token histogram that orders tokens from rare to frequent: one for so many bytes of text, within bounds.
 #: A counter is one byte that stops at 255; with the upper bound they are 64 MB.
-BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 64, 1 << 16, 1 << 26
+BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 32, 1 << 16, 1 << 26
 #: Counters that travel as one row.
 COUNTER_BLOCK = 1 << 16
 #: Longs of the two bit sketches of a set: which counters its tokens meet, and which they meet an odd number of times.
@@ -213,6 +213,12 @@ def _alike(n: str, m: str) -> Column:
     return (100 * F.col(n) >= PERCENT * F.col(m)) & (100 * F.col(m) >= PERCENT * F.col(n))
 
 
+def _slack(n: Column, place: Column) -> Column:
+    """What a token at this place leaves for a link: the first token that two linked sets share has at least
+    ``PERCENT`` times the other set's size, on both sides, as all that they share stands from there on."""
+    return (100 + PERCENT) * (n - place) - PERCENT * n
+
+
 def _leaders(matrix: DataFrame, number: int) -> DataFrame:
     """For each node one candidate in another group: the leader it shares most rare tokens with."""
     first = F.min(F.struct(F.xxhash64("k", F.lit(number)).alias("turn"), "k", "n", "comp")).alias("leader")
@@ -234,11 +240,13 @@ def _queries(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     groups = members.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
     groups = saved(groups)
     asking = matrix.join(groups.select("comp", "size"), "comp")
-    tokens = matrix.select("token", F.col("comp").alias("group")).distinct()  # the unions of the groups
+    tokens = matrix.groupBy("token", F.col("comp").alias("group"))  # the unions of the groups
+    tokens = tokens.agg(F.max("slack").alias("other_slack"), F.min("n").alias("other_least"))
     named = groups.select(F.col("comp").alias("group"), F.col("size").alias("other_size"), "least", "most")
     smaller = F.struct("size", "comp") < F.struct("other_size", "group")
     fits = (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n"))
-    asked = asking.join(tokens.join(named, "group"), "token").filter(smaller & fits).select("k", "n", "group").distinct()
+    may_be_first = (F.col("slack") >= PERCENT * F.col("other_least")) & (F.col("other_slack") >= PERCENT * F.col("n"))
+    asked = asking.join(tokens.join(named, "group"), "token").filter(smaller & fits & may_be_first).select("k", "n", "group").distinct()
 
     part = F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / GROUP))
     parted = saved(members.join(groups.select("comp", "size"), "comp").select("k", F.col("n").alias("m"), F.col("comp").alias("group"), part.alias("part")))
@@ -264,10 +272,11 @@ def linked(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     counts = documents.sparkSession.sparkContext.broadcast(histogram(documents))  # at most MOST_COUNTERS bytes
     rows = saved(node_rows(documents, counts))
-    tokens = rows.filter("rare is not null").select("k", "n", F.explode("rare").alias("token"))
+    tokens = rows.filter("rare is not null").select("k", "n", F.posexplode("rare").alias("place_in_order", "token"))
+    tokens = tokens.select("k", "n", "token", _slack(F.col("n"), F.col("place_in_order")).alias("slack"))
     over = Window.partitionBy("token")
     tokens = tokens.withColumn("low", F.min("k").over(over)).withColumn("high", F.max("k").over(over))
-    tokens = saved(tokens.filter("low < high").select("token", "k", "n").distinct())
+    tokens = saved(tokens.filter("low < high").select("token", "k", "n", "slack").distinct())
     keyed = F.struct(F.col("doc_id").isNull().alias("last"), "place", "whole")
     nodes = rows.filter("k is not null").groupBy("k").agg(F.min("place").alias("place"), F.min(keyed).alias("first"))
     shared = rows.filter("rare is not null").join(tokens.select("k").distinct(), "k", "left_semi")
@@ -307,10 +316,18 @@ def keep_one(documents: DataFrame) -> DataFrame:
     Of repeated rows one stays; documents without words all stay.
     """
     own = linked(documents).filter((F.col("place") == F.col("head.place")) & (F.col("whole") == F.col("head.whole")))
-    own = own.select(F.col("place").alias("__place"), F.col("whole").alias("__whole")).distinct()
+    own = saved(own.groupBy(F.col("place").alias("__place"), F.col("whole").alias("__whole")).count())
     marked = documents.withColumns({"__place": _place(), "__whole": F.xxhash64("text"), "__words": F.col("text").rlike(r"[^\x20\x09-\x0D]")})
-    wordless = marked.filter(~F.coalesce("__words", F.lit(False)))
+    worded = marked.filter("__words")
+    few = own.count() <= BROADCAST_KEYS  # three numbers each
+
+    def picked(keys: DataFrame) -> DataFrame:
+        keys = keys.drop("count")
+        return worded.join(F.broadcast(keys) if few else keys, ["__place", "__whole"], "left_semi")
+
+    # only repeated rows have to meet
     first = F.row_number().over(Window.partitionBy("__place", "__whole").orderBy("__place"))
-    stay = marked.filter("__words").join(own, ["__place", "__whole"], "left_semi").withColumn("__first", first).filter("__first = 1")
+    repeated = picked(own.filter("count > 1")).withColumn("__first", first).filter("__first = 1")
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    return stay.select(columns).unionByName(wordless.select(columns))
+    stay = picked(own.filter("count = 1")).select(columns).unionByName(repeated.select(columns))
+    return stay.unionByName(marked.filter(~F.coalesce("__words", F.lit(False))).select(columns))
