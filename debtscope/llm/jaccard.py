@@ -33,8 +33,8 @@ from debtscope.llm.words import UNSPACED, word_hashes
 #: Words of a shingle, and the similarity in hundredths from which on two sets are linked.
 WIDTH, PERCENT = 5, 80
 #: Counters of the token histogram that orders tokens from rare to frequent: one for so many bytes of text, within bounds.
-#: A counter is one byte that stops at 255; with the upper bound they are 64 MB.
-BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 32, 1 << 16, 1 << 26
+#: A counter is one byte that stops at 255; with the upper bound they are 32 MB.
+BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 64, 1 << 16, 1 << 25
 #: Counters that travel as one row.
 COUNTER_BLOCK = 1 << 16
 #: Longs of the two bit sketches of a set: which counters its tokens meet, and which they meet an odd number of times.
