@@ -5,7 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debtscope.llm import bpe, decontamination, jaccard, langid, neighbours, quality, secret_scan, sharding, suffixes, toxicity
+from debtscope.llm import (
+    bpe,
+    decontamination,
+    jaccard,
+    langid,
+    merkle,
+    neighbours,
+    quality,
+    resampling,
+    secret_scan,
+    sharding,
+    suffixes,
+    toxicity,
+)
 from debtscope.llm.common import held_out, table
 
 #: Vocabulary file of the encoding query and stage.
@@ -112,6 +125,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.accepted")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, checked against tampered texts."""
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document when a quarter is drawn to look like the benchmark."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -123,6 +147,8 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op11_merkle": op11_merkle,
+    "op12_resampling": op12_resampling,
 }
 
-ORACLES: dict[str, str] = {"op2_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op2_sharding": sharding.ORACLE, "op11_merkle": merkle.ORACLE, "op12_resampling": resampling.ORACLE}
