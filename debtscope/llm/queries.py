@@ -11,6 +11,7 @@ from debtscope.llm import (
     jaccard,
     langid,
     merkle,
+    minhash,
     neighbours,
     quality,
     resampling,
@@ -136,6 +137,11 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document, and whether it is the one that stays."""
+    return minhash.deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -149,6 +155,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_merkle": op11_merkle,
     "op12_resampling": op12_resampling,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLES: dict[str, str] = {"op2_sharding": sharding.ORACLE, "op11_merkle": merkle.ORACLE, "op12_resampling": resampling.ORACLE}

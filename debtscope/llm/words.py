@@ -6,7 +6,9 @@ import numpy as np
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
+
+#: Places of a word whose letters are looked up in a table; later ones are computed.
+_TABLED = 48
 
 #: ASCII letters and digits and everything beyond ASCII.
 ALPHANUMERIC = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
@@ -14,10 +16,27 @@ ALPHANUMERIC = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for
 UNSPACED = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits, each mixed so that every bit depends on all of them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _letters(place: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """A random number for each place and letter."""
+    return mixed((place.astype(np.uint64) * np.uint64(256) + letter.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_TABLE = _letters(np.repeat(np.arange(_TABLED), 256), np.tile(np.arange(256), _TABLED))
+
+
 def word_hashes(texts: list[str], members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and the number of words of each text.
 
-    A-Z are lower-cased; words are runs of the bytes that ``members`` holds, a blank is none.
+    A-Z are lower-cased; words are runs of the bytes that ``members`` holds, a blank is none.  A
+    hash is the sum of a random number for each letter and its place, mixed with the length, so no
+    pattern of letters makes different words agree.
     """
     data = [text.encode("utf-8") for text in texts]
     raw = _LOWER[np.frombuffer(b" ".join(data) + b" ", np.uint8)]
@@ -29,10 +48,10 @@ def word_hashes(texts: list[str], members: np.ndarray) -> tuple[np.ndarray, np.n
     if not len(starts):
         return np.zeros(0, np.uint64), counts
     size = ends - starts
-    powers = np.cumprod(np.full(int(size.max()) + 1, _BASE, np.uint64))
-    letters = raw[inside].astype(np.uint64) + np.uint64(1)
     first = np.cumsum(size) - size
-    place = np.arange(len(letters)) - np.repeat(first, size)
-    hashes = np.add.reduceat(letters * powers[place], first)
-    hashes ^= hashes >> np.uint64(31)
-    return hashes, counts
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    letters = raw[inside]
+    far = np.flatnonzero(place >= _TABLED)
+    values = _TABLE[np.minimum(place, _TABLED - 1) * 256 + letters]
+    values[far] = _letters(place[far], letters[far])
+    return mixed(np.add.reduceat(values, first) + size.astype(np.uint64)), counts
