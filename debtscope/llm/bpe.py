@@ -20,12 +20,16 @@ import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession, functions as F
 
+from debtscope.llm.common import chunks
+
 #: Words of more parts are merged with a heap instead of repeated scans; the result is the same.
 SHORT = 96
 #: Short words are merged in groups of like size.
 _WIDTHS = (0, 8, 12, 16, 24, 48, SHORT)
-#: Stretches without white space whose ids are kept from batch to batch; beyond, all are forgotten.
-KEPT = 300_000
+#: Bytes of stretches without white space, their ids and what Python spends on them, that are kept from text to text; beyond, all are forgotten.
+KEPT_BYTES = 48 << 20
+#: Characters that are split and merged together.
+PORTION = 1 << 19
 
 _FAR = 1 << 60
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -75,7 +79,10 @@ class Encoder:
         self._end = model["end_of_word_suffix"] or ""
         self._letters = byte_letters()
         self._token = {i: t for t, i in self._vocab.items()} | {i: t for t, i in self._special.items()}
-        self._id_text = {i: str(i) for i in self._token}
+        # texts of the ids and their tokens, looked up by whole arrays of ids
+        self._id_texts, self._tokens = (np.full(max(self._token) + 1, "", object) for _ in range(2))
+        for i, token in self._token.items():
+            self._id_texts[i], self._tokens[i] = str(i), token
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         # rank of each pair of ids, the pair packed into one number; merged id of each rank
         self._ranks = {self._vocab[a] << 20 | self._vocab[b]: rank for rank, (a, b) in enumerate(merges)}
@@ -90,7 +97,8 @@ class Encoder:
             split = split.replace(f"[{name}]", f"[{members()}]").replace(name, members())
         self._words = re.compile(split)
         self._cut = re.compile("|".join(re.escape(t) for t in sorted(self._special, key=len, reverse=True)) or r"(?!)")
-        self._known: dict[str, tuple[str, str, int]] = {}
+        self._known: dict[str, bytes] = {}
+        self._known_bytes = 0
 
     # -- words ------------------------------------------------------------------------------
 
@@ -199,43 +207,52 @@ class Encoder:
             return self._words.findall(text)
         return text.split()
 
-    def _learn(self, pieces: set[str]) -> dict[str, tuple[str, str, int]]:
-        """Ids and tokens of pieces, each as text joined by spaces, and their number."""
+    def _learn(self, pieces: set[str]) -> None:
+        """Keep the ids of pieces, each as the bytes of an array."""
         order = [piece for piece in pieces if piece not in self._special]
         words = [(piece,) if piece.isalpha() else self._words.findall(piece) for piece in order]
         distinct = list({word for own in words for word in own})
-        text, token = self._id_text, self._token
-        ids = {
-            word: (" ".join([text[i] for i in own]), " ".join([token[i] for i in own]), len(own))
-            for word, own in zip(distinct, self.merge(distinct))
-        }
-        out = {token: (text[i], token, 1) for token, i in self._special.items() if token in pieces}
-        for piece, own in zip(order, words):
-            if len(own) == 1:
-                out[piece] = ids[own[0]]
-            else:
-                found = [ids[word] for word in own if ids[word][2]]
-                out[piece] = " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum(x[2] for x in found)
-        return out
-
-    def code(self, texts: list[str]) -> list[tuple[str, str, int]]:
-        """For each text its ids joined by spaces, its decoded text and the number of ids."""
-        split = [self._pieces(text) for text in texts]
-        if len(self._known) > KEPT:
-            self._known = {}
+        ids = {word: np.array(own, np.int32).tobytes() for word, own in zip(distinct, self.merge(distinct))}
+        new = {token: np.int32(i).tobytes() for token, i in self._special.items() if token in pieces}
+        new |= {piece: b"".join([ids[word] for word in own]) for piece, own in zip(order, words)}
+        self._known_bytes += sum(len(piece) + len(own) + 150 for piece, own in new.items())
+        self._known.update(new)
+
+    def _coded(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of texts."""
+        split = [self._pieces(part) for part in parts]
+        if self._known_bytes > KEPT_BYTES:
+            self._known, self._known_bytes = {}, 0
         known = self._known
-        known.update(self._learn({piece for own in split for piece in own if piece not in known}))
-        out = []
-        for pieces in split:
-            found = [known[piece] for piece in pieces]
-            ids, tokens, counts = zip(*found) if found else ((), (), ())
-            if 0 in counts:
-                ids, tokens = filter(None, ids), filter(None, tokens)
-            out.append((" ".join(ids), " ".join(tokens), sum(counts)))
-        return out
+        self._learn({piece for own in split for piece in own if piece not in known})
+        return [b"".join([known[piece] for piece in own]) for own in split]
+
+    def code(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; long texts are cut behind white space, where no word and no character reaches over."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, parts, size = [], [], 0
+
+        def flush() -> None:
+            for owner, ids in zip(owners, self._coded(parts)):
+                out[owner].append(ids)
+
+        for i, text in enumerate(texts):
+            for part in chunks(text, PORTION):
+                owners.append(i)
+                parts.append(part)
+                size += len(part)
+                if size >= PORTION:
+                    flush()
+                    owners, parts, size = [], [], 0
+        flush()
+        return [np.frombuffer(b"".join(own), np.int32) for own in out]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.code([text])[0][0].split()]
+        return self.code([text])[0].tolist()
+
+    def texts(self, ids: np.ndarray) -> tuple[str, str]:
+        """Ids as text, joined by spaces, and the decoded text."""
+        return " ".join(self._id_texts[ids].tolist()), " ".join(self._tokens[ids].tolist())
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids, joined as a file without a decoder says; unknown ids are left out."""
@@ -262,7 +279,7 @@ def encode(text: Column, get) -> Column:
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = get()
         for texts in batches:
-            yield pd.Series([[int(i) for i in ids.split()] for ids, _, _ in own.code([x or "" for x in texts])])
+            yield pd.Series(own.code([x or "" for x in texts]))
 
     return encoded(text)
 
@@ -274,7 +291,8 @@ def encode_decode(text: Column, get) -> Column:
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = get()
         for texts in batches:
-            yield pd.DataFrame(own.code([x or "" for x in texts]), columns=["ids", "decoded", "n_tokens"])
+            found = [(*own.texts(ids), len(ids)) for ids in own.code([x or "" for x in texts])]
+            yield pd.DataFrame(found, columns=["ids", "decoded", "n_tokens"])
 
     return coded(text)
 
