@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from debtscope.session import scratch
+
 #: Longest stretch of characters that is expanded into arrays at once.
 CHUNK = 1 << 20
 
@@ -54,15 +55,6 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[start:]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor and the driver can reach.
-
-    A session without the setting gets one beside its warehouse.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def saved(rows: DataFrame) -> DataFrame:
     """Cut lineage: write the rows once and read them back, so that later steps survive lost executors.
 
@@ -70,7 +62,7 @@ def saved(rows: DataFrame) -> DataFrame:
     needs.  They may be deleted once the result has been written; :func:`forget` does that.
     """
     spark = rows.sparkSession
-    path = shared_folder(spark)
+    path = scratch(spark)
     rows.write.parquet(path)
     _SAVED.append(path)
     return spark.read.schema(rows.schema).parquet(path)

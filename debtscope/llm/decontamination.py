@@ -25,6 +25,9 @@ WINDOW = 10
 #: Most bytes of benchmark text that are broadcast at once; one longer item is a block of its own.
 BLOCK_BYTES = 8 << 20
 
+#: Pairs of an item's suffix and a place in the texts that are looked at together.
+PAIRS = 1 << 18
+
 MATCHES = "array<struct<item:string,item_word:int,doc_word:int,n_words:int>>"
 
 
@@ -120,20 +123,25 @@ def search(texts: list[str], own: Block) -> tuple[np.ndarray, np.ndarray]:
     found = np.maximum(high - low, 0)
     if not found.any():
         return counts, none
-    which = np.repeat(np.arange(len(item)), found)
-    hit = order[np.repeat(low, found) + np.arange(len(which)) - np.repeat(np.cumsum(found) - found, found)]
-    # keep matches that do not begin one word earlier, and extend them as far as they go
-    q = query[which]
-    maximal = (start[which] == 0) | (hit == 0) | (text[hit - 1] != own.words[q - 1])
-    which, hit, q = which[maximal], hit[maximal], q[maximal]
-    size = need[which].copy()
-    live = np.arange(len(which))
-    while len(live):
-        word = text[np.minimum(hit[live] + size[live], len(text) - 1)]
-        live = live[(word > 0) & (word == own.words[q[live] + size[live]])]
-        size[live] += 1
-    word = place[hit]
-    return counts, np.stack([doc[word], item[which], start[which], word - (ends - counts)[doc[word]], size], axis=1)
+    behind = np.cumsum(found)
+    rows = [none]
+    for begin in range(0, int(behind[-1]), PAIRS):
+        pair = np.arange(begin, min(begin + PAIRS, int(behind[-1])))
+        which = np.searchsorted(behind, pair, side="right")
+        hit = order[low[which] + pair - (behind - found)[which]]
+        # keep matches that do not begin one word earlier, and extend them as far as they go
+        q = query[which]
+        maximal = (start[which] == 0) | (hit == 0) | (text[hit - 1] != own.words[q - 1])
+        which, hit, q = which[maximal], hit[maximal], q[maximal]
+        size = need[which].copy()
+        live = np.arange(len(which))
+        while len(live):
+            word = text[np.minimum(hit[live] + size[live], len(text) - 1)]
+            live = live[(word > 0) & (word == own.words[q[live] + size[live]])]
+            size[live] += 1
+        word = place[hit]
+        rows.append(np.stack([doc[word], item[which], start[which], word - (ends - counts)[doc[word]], size], axis=1))
+    return counts, np.concatenate(rows)
 
 
 def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Block]:

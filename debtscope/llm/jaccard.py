@@ -220,20 +220,25 @@ def _slack(n: Column, place: Column) -> Column:
 
 
 def _leaders(matrix: DataFrame, number: int) -> DataFrame:
-    """For each node one candidate in another group: the leader it shares most rare tokens with."""
-    first = F.min(F.struct(F.xxhash64("k", F.lit(number)).alias("turn"), "k", "n", "comp")).alias("leader")
+    """For each node one candidate in another group: the leader it shares most rare tokens with.
+
+    In the first round the node with the fewest tokens of its own leads, as a text that copies were made from does.
+    """
+    turn = F.xxhash64("k", F.lit(number))
+    turn = F.struct(F.col("own") if number == 0 else F.lit(0).cast("long"), turn)
+    first = F.min(F.struct(turn.alias("turn"), "k", "n", "comp")).alias("leader")
     lead = matrix.groupBy("token").agg(first).select("token", F.col("leader.k").alias("b"), F.col("leader.n").alias("m"), F.col("leader.comp").alias("other"))
     pairs = matrix.join(lead, "token").filter((F.col("comp") != F.col("other")) & _alike("n", "m"))
-    pairs = pairs.groupBy(F.col("k").alias("a"), "b").count()
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))
-    return pairs.withColumn("best", best).filter("best = 1").select("a", "b")
+    pairs = pairs.groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("times"))
+    return pairs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
 def _queries(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of nodes in different groups that may be similar, found through the token-group matrix.
 
     A group is asked as a whole first; its members are then parted so that the union of a part
-    stays tight, and only the parts whose bound reaches the query are opened.
+    stays tight, and only the parts whose bound reaches the query are opened.  Of an opened part
+    those members are met that share a token which can be the first shared one of both.
     """
     met = [F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH)]
     members = saved(matrix.select("k", "n", "comp").distinct())
@@ -246,7 +251,9 @@ def _queries(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     smaller = F.struct("size", "comp") < F.struct("other_size", "group")
     fits = (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n"))
     may_be_first = (F.col("slack") >= PERCENT * F.col("other_least")) & (F.col("other_slack") >= PERCENT * F.col("n"))
-    asked = asking.join(tokens.join(named, "group"), "token").filter(smaller & fits & may_be_first).select("k", "n", "group").distinct()
+    by_token = asking.join(tokens.join(named, "group"), "token").filter(smaller & fits & may_be_first)
+    by_token = saved(by_token.select("token", "k", "n", "slack", "group"))
+    asked = by_token.select("k", "n", "group").distinct()
 
     part = F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / GROUP))
     parted = saved(members.join(groups.select("comp", "size"), "comp").select("k", F.col("n").alias("m"), F.col("comp").alias("group"), part.alias("part")))
@@ -256,8 +263,12 @@ def _queries(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     missing = sum((F.bit_count(F.col(f"s{i}").bitwiseAND(F.bitwise_not(f"u{i}"))) for i in range(SKETCH)), F.lit(0))
     # a link with m tokens needs an overlap of 80 / 180 of n + m
     reaches = (100 + PERCENT) * (F.col("n") - missing) >= PERCENT * (F.col("n") + F.col("least"))
-    opened = bound.filter(reaches).select(F.col("k").alias("a"), "n", "group", "part")
-    return opened.join(parted.withColumnRenamed("k", "b"), ["group", "part"]).filter(_alike("n", "m")).select("a", "b").distinct()
+    opened = bound.filter(reaches).select(F.col("k").alias("a"), "group", "part")
+    members = matrix.select("token", F.col("k").alias("b"), F.col("n").alias("m"), F.col("comp").alias("group"), F.col("slack").alias("other_slack"))
+    both_first = (F.col("slack") >= PERCENT * F.col("m")) & (F.col("other_slack") >= PERCENT * F.col("n"))
+    met = by_token.withColumnRenamed("k", "a").join(members, ["token", "group"]).filter(_alike("n", "m") & both_first)
+    met = met.select("a", "b", "group").distinct().join(parted.select(F.col("k").alias("b"), "part"), "b")
+    return met.join(opened, ["a", "group", "part"], "left_semi").select("a", "b")
 
 
 def linked(documents: DataFrame) -> DataFrame:
@@ -272,11 +283,13 @@ def linked(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     counts = documents.sparkSession.sparkContext.broadcast(histogram(documents))  # at most MOST_COUNTERS bytes
     rows = saved(node_rows(documents, counts))
-    tokens = rows.filter("rare is not null").select("k", "n", F.posexplode("rare").alias("place_in_order", "token"))
-    tokens = tokens.select("k", "n", "token", _slack(F.col("n"), F.col("place_in_order")).alias("slack"))
-    over = Window.partitionBy("token")
-    tokens = tokens.withColumn("low", F.min("k").over(over)).withColumn("high", F.max("k").over(over))
-    tokens = saved(tokens.filter("low < high").select("token", "k", "n", "slack").distinct())
+    once = rows.filter("rare is not null").dropDuplicates(["k"])
+    tokens = once.select("k", "n", F.size("rare").cast("long").alias("rare"), F.posexplode("rare").alias("place_in_order", "token"))
+    tokens = tokens.select("k", "n", "rare", "token", _slack(F.col("n"), F.col("place_in_order")).alias("slack"))
+    several = tokens.groupBy("token").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("token")
+    tokens = tokens.join(several, "token")
+    own = F.col("rare") - F.count("*").over(Window.partitionBy("k"))  # the rare tokens of one set
+    tokens = saved(tokens.withColumn("own", own).drop("rare"))
     keyed = F.struct(F.col("doc_id").isNull().alias("last"), "place", "whole")
     nodes = rows.filter("k is not null").groupBy("k").agg(F.min("place").alias("place"), F.min(keyed).alias("first"))
     shared = rows.filter("rare is not null").join(tokens.select("k").distinct(), "k", "left_semi")

@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from debtscope.llm.common import CHUNK
 
@@ -135,11 +135,14 @@ def train(documents: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Langua
     key; of repeated keys one row is taken.  Only subword counts travel to the driver.
     Without any row the model knows no language and every text is :data:`UNKNOWN`.
     """
-    from pyspark.sql import Window
-
     rows = documents.filter("lang is not null and text is not null and doc_id is not null")
+    keys = rows.select("doc_id", "lang")
+    # the smallest hashes lie below a bound that the number of rows gives, four times as many as are wanted
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), (4.0 * max_rows + 200) / F.col("n"))
+    few = keys.join(counts, "lang").filter(F.xxhash64("doc_id").cast("double") <= -(2.0**63) + share * 2.0**64).select("doc_id", "lang").distinct()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(first))
+    chosen = few.withColumn("place", F.row_number().over(first))
     chosen = chosen.filter(F.col("place") <= max_rows).select("doc_id", F.col("lang").alias("label")).dropDuplicates(["doc_id"])
     # at most max_rows keys per language, and languages are few
     joined = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

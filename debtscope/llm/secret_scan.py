@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from debtscope.llm.common import saved
+
 # --- fixed values: base patterns, in the order of their kinds --------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -272,14 +274,18 @@ def fit(examples: list[tuple[str, list[tuple[int, int]], int]], rounds: int = 60
 def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> Field:
     """Fit on windows of at most ``max_rows`` documents, chosen by a hash of their key; half of the places go to documents with hits.
 
-    Only windows of bounded length travel.  Rows without key or text are left out.
+    Only keys are sorted, and only windows of bounded length travel to the driver.  Rows without
+    key or text are left out, and without any row the field tags nothing.
     """
     rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
     hit = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    picked = None
-    for part in (rows.filter(hit), rows.filter(~hit)):
-        part = part.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2)
-        picked = part if picked is None else picked.unionByName(part)
+    judged = saved(rows.select("doc_id", hit.alias("hit")))
+    chosen = None
+    for part in (judged.filter("hit"), judged.filter("not hit")):
+        part = part.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    # at most max_rows keys; of repeated keys one text is taken
+    picked = rows.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -57,11 +57,48 @@ def directory(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
         depth = last
 
 
+def _prefixes(found: DataFrame) -> Column:
+    """All prefixes of ``bits`` that are as long as one of the directory's; exactly one of them is in it."""
+    depths = [r["depth"] for r in found.select("depth").distinct().collect()]  # at most BITS + 1 numbers
+    return F.array(*[F.substring("bits", 1, d) for d in sorted(depths)]) if depths else F.array(F.lit(""))
+
+
+def _paged(placed: DataFrame, limit: int) -> DataFrame:
+    """Add ``page``: 0 in a shard within the limit; one above it is cut into pages.
+
+    A row of more than half the limit is a page of its own.  The others follow, a page taking those
+    that end within the same half limit of their running size, which with the part of the first
+    one that reaches back is a limit at most.  The rows of one input partition are numbered on
+    their own, then the partitions are put in line.
+    """
+    fitting = placed.filter(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
+    half = max(1, limit // 2)
+    over = saved(placed.filter(F.col("shard_bytes") > limit).withColumn("__row", F.monotonically_increasing_id()))
+    over = over.withColumn("__part", F.shiftright("__row", 33))
+    large = F.col("bytes") > half
+    small_bytes, number = F.when(large, 0).otherwise(F.col("bytes")), large.cast("long")
+    local = Window.partitionBy("shard", "__part").orderBy("__row")
+    sums = over.groupBy("shard", "__part").agg(F.sum(small_bytes).alias("part_bytes"), F.sum(number).alias("part_large"))
+    whole = Window.partitionBy("shard")  # a row for each input partition
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        "shard",
+        "__part",
+        F.coalesce(F.sum("part_bytes").over(before), F.lit(0)).alias("__bytes_before"),
+        F.coalesce(F.sum("part_large").over(before), F.lit(0)).alias("__large_before"),
+        F.sum("part_large").over(whole).alias("__large"),
+    )
+    counted = over.withColumns({"__bytes": F.sum(small_bytes).over(local), "__number": F.sum(number).over(local)}).join(sums, ["shard", "__part"])
+    ends = F.greatest(F.col("__bytes") + F.col("__bytes_before") - 1, F.lit(0))
+    page = F.when(large, F.col("__number") + F.col("__large_before") - 1).otherwise(F.col("__large") + F.floor(ends / half))
+    return fitting.unionByName(counted.withColumn("page", page).select(fitting.columns))
+
+
 def shards(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row per document: ``doc_id``, ``bytes`` of its text, ``shard`` (bits), ``depth``, ``page``, ``shard_bytes``.
 
     A null or empty text has 0 bytes.  Repeated rows with one key go to one shard; where they
-    exceed the limit together, the shard is cut into pages by running size (``page`` from 0), and
+    exceed the limit together, the shard is cut into pages within the limit (``page`` from 0), and
     a single document above the limit fills a page of its own.  An empty table gives no rows.
     """
     rows = documents.select(
@@ -69,29 +106,24 @@ def shards(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
     rows = saved(rows)
     found = saved(directory(rows, limit))
-    depths = [r["depth"] for r in found.select("depth").distinct().collect()]  # at most BITS + 1 numbers
-    # a document's shard is the only prefix of its hash that the directory holds
-    prefixes = F.array(*[F.substring("bits", 1, d) for d in sorted(depths)]) if depths else F.array(F.lit(""))
-    placed = rows.withColumn("shard", F.explode(prefixes)).join(found, "shard")
-    fitting = placed.filter(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
-    # equal hashes: the rows of one input partition are numbered on their own, then the partitions are put in line
-    over = placed.filter(F.col("shard_bytes") > limit).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    local = F.sum("bytes").over(Window.partitionBy("shard", "part").orderBy("row"))
-    sums = over.groupBy("shard", "part").agg(F.sum("bytes").alias("part_bytes"))
-    before = F.coalesce(F.sum("part_bytes").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("before", before)
-    paged = over.withColumn("local", local).join(sums, ["shard", "part"])
-    # a page takes what ends inside half a limit, so rows up to half a limit never overflow one
-    paged = paged.withColumn("page", F.floor((F.col("local") + F.col("before") - 1) / F.lit(max(1, limit // 2))))
-    columns = ["doc_id", "bytes", "shard", "depth", "page", "shard_bytes"]
-    return fitting.select(columns).unionByName(paged.select(columns))
+    placed = rows.withColumn("shard", F.explode(_prefixes(found))).join(found, "shard")
+    return _paged(placed, limit).select("doc_id", "bytes", "shard", "depth", "page", "shard_bytes")
 
 
 def write(documents: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the documents as one Parquet folder per shard, each from one task."""
-    placed = shards(documents, limit).select("doc_id", "shard", "page").dropDuplicates(["doc_id"])
-    rows = documents.drop("shard", "page").join(placed, "doc_id")
-    rows.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    """Write all rows, with all columns but ones named ``shard`` or ``page``, as one Parquet folder per shard and page, each from one task.
+
+    Rows are placed by the hash of their key, so rows without a key and repeated rows are written
+    like others; texts are shuffled to the directory once and to their folders once.
+    """
+    columns = [F.col(f"`{c}`") for c in documents.columns if c not in ("shard", "page")]
+    rows = documents.select(
+        F.struct(*columns).alias("__row_columns"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), hash_bits(F.col("doc_id")).alias("bits")
+    )
+    found = saved(directory(saved(rows.select("bits", "bytes")), limit))
+    hashes = rows.select("bits").distinct().withColumn("shard", F.explode(_prefixes(found))).join(found, "shard")
+    placed = _paged(rows.join(saved(hashes.select("bits", "shard", "shard_bytes")), "bits"), limit)
+    placed.repartition("shard", "page").select("__row_columns.*", "shard", "page").write.partitionBy("shard", "page").parquet(path)
 
 
 #: DuckDB SQL of the registered query; depths beyond 40 bits do not occur while keys differ.

@@ -101,8 +101,25 @@ def test_sharding_equals_its_sql(spark):
 
 
 def test_shards_are_written(documents, tmp_path, spark):
-    sharding.write(documents([(i, "t" * 100) for i in range(50)]).drop("shard"), f"{tmp_path}/out", 1000)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 50
+    rows = [(i, "t" * 100) for i in range(50)] + [(None, "null key"), (None, "null key"), (3, "again"), (3, "again"), (4, None)]
+    sharding.write(documents(rows), f"{tmp_path}/out", 1000)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted([(r["doc_id"], r["text"]) for r in back.collect()], key=key) == sorted(rows, key=key)
+    assert {"lang", "source", "n_chars", "score", "shard", "page"} <= set(back.columns)
+    sharding.write(documents([]), f"{tmp_path}/none", 1000)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_page_exceeds_the_limit(documents, seed):
+    rng = random.Random(seed)
+    sizes = [110, 900, 400, 300] if not seed else [rng.choice([0, 1, 10, 499, 500, 501, 999, 1000, rng.randint(0, 1000)]) for _ in range(60)]
+    got = sharding.shards(documents([(7, "x" * n) for n in sizes]), 1000).collect()
+    pages = Counter()
+    for r in got:
+        pages[r["shard"], r["page"]] += r["bytes"]
+    assert len(got) == len(sizes) and max(pages.values()) <= 1000
+    assert len(pages) <= 4 * (sum(sizes) // 1000 + 1)
 
 
 # --- n-gram Jaccard join ---------------------------------------------------------------------
