@@ -5,8 +5,7 @@ classes, because ``\w``, ``\s`` and ``\d`` mean different things in Java and in
 model the results are defined on (Unicode letters, numbers and underscore; Unicode white
 space including the four separators U+001C..U+001F).  Word boundaries are written as
 look-around on ``\w``.  Quantified groups over arbitrary text are possessive wherever that
-keeps the matches, so that long runs neither backtrack nor grow the Java stack.  A text full of
-openings that are never closed still makes each opening look ahead to the text's end once.
+keeps the matches, so that long runs neither backtrack nor grow the Java stack.
 """
 
 from __future__ import annotations
@@ -148,6 +147,25 @@ def _modified(*names: str) -> tuple[str, str]:
 _JAVA, _JAVA_MODIFIERS = _modified("public", "private", "protected", "static")
 _SHARP, _SHARP_MODIFIERS = _modified("public", "private", "protected", "internal", "static", "async", "virtual", "override")
 
+#: What stands for an opening or line end that no match goes on from: a round one, a line end, a
+#: colon, an angle and the round one of a receiver (see ``functions.openings``).
+MASKS = "\ufdd2\ufdd3\ufdd4\ufdd5\ufdd6"
+#: What follows the closing parenthesis of a definition, where anything has to.
+FUNCTION_TAILS = {
+    "Python": None,
+    "JavaScript": rx(r"\s*+=>").removeprefix("(?d)"),
+    "TypeScript": rx(r"\s*+(?::\s*+\w++)?+\s*+\{").removeprefix("(?d)"),
+    "Java": rx(r"\s*+(?:throws\s++[\w,\s]++)?+\{").removeprefix("(?d)"),
+    "C": rx(r"\s*+\{").removeprefix("(?d)"),
+    "C++": rx(r"\s*+(?:const\s*+)?+(?:override\s*+)?+\{").removeprefix("(?d)"),
+    "C#": None,
+    "PHP": None,
+    "Go": None,
+}
+#: What follows type arguments, and the receiver of a method.
+GENERIC_TAIL = rx(r"\s++\w++\s*+\(").removeprefix("(?d)")
+RECEIVER_TAIL = rx(r"\s*+\w++\s*+\(").removeprefix("(?d)")
+
 FUNCTION_PATTERNS = {
     "Python": rx(r"^ *+(?:async\s++)?+def\s++(\w++)\s*+\([^)]*+\)", "m"),
     "JavaScript": rx(
@@ -155,20 +173,20 @@ FUNCTION_PATTERNS = {
     ),
     "TypeScript": rx(
         r"function\s++(\w++)|(?:const|let|var)\s++(\w++)\s*+(?::[^=]++)?+="
-        r"|(?<!\w)(\w++)\s*+\([^)]*+\)\s*+(?::\s*+\w++)?+\s*+\{"
+        r"|(?<!\w)(\w++)\s*+\([^)]*+\)\s*+(?:[:\ufdd4]\s*+\w++)?+\s*+\{"
     ),
     "Java": rx(
         _JAVA + rf"(?:(?:{_JAVA_MODIFIERS})\s++|\s{{2,}}+)"
         r"\w++(?:<[^>]*+>)?+\s++(\w++)\s*+\([^)]*+\)\s*+(?:throws\s++[\w,\s]++)?+\{"
     ),
-    "C": rx(r"^\w(?=[\w\s\*]++\([^)]*+\)\s*+\{)[\w\s\*]+\s+(\w+)\s*+\([^)]*+\)\s*+\{", "m"),
-    "C++": rx(r"(?<!\w)(?:[\w:]++\s++)?(\w++)\s*+\([^)]*+\)\s*+(?:const\s*+)?+(?:override\s*+)?+\{"),
+    "C": rx(r"^\w(?=[\w\s\*]++\()[\w\s\*]+\s+(\w+)\s*+\([^)]*+\)[\s\ufdd3]*+\{", "m"),
+    "C++": rx(r"(?<!\w)(?:(?<![\w:])[\w:]++\s++)?(\w++)\s*+\([^)]*+\)\s*+(?:const\s*+)?+(?:override\s*+)?+\{"),
     "C#": rx(
         _SHARP + rf"(?:(?:{_SHARP_MODIFIERS})\s++|\s{{2,}}+)"
         r"\w++(?:<[^>]*+>)?+\s++(\w++)\s*+\([^)]*+\)"
     ),
     "PHP": rx(_JAVA + r"(?:\s*+(?:public|private|protected|static))*+\s*+function\s++(\w++)\s*+\([^)]*+\)"),
-    "Go": rx(r"func\s++(?:\([^)]*+\)\s*+)?+(\w++)\s*+\([^)]*+\)"),
+    "Go": rx(r"func\s++(?:\([^)]*+\)\s*+)?+(\w++)\s*+[(\ufdd6][^)]*+\)"),
     "Rust": rx(r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"),
     "Kotlin": rx(r"(?:fun|suspend\s+fun)\s+(\w+)\s*\("),
     "Lua": rx(r"(?:local\s+)?function\s+(\w+)\s*\(|(?<!\w)(\w+)\s*=\s*function\s*\("),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from debtscope.functions import regex as R, text as X
+from debtscope.functions import openings as O, regex as R, text as X
 from debtscope.functions.stage import staged
 
 MIN_LENGTH = 30
@@ -78,7 +78,9 @@ def _braced_length(piece: Column) -> Column:
 
 def _pieces(files: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    marked = _per_extractor(lambda key: X.marked(text, R.FUNCTION_PATTERNS[key]), F.lit(None).cast("string"))
+    marked = _per_extractor(
+        lambda key: O.restored(X.marked(O.prepared(text, key), R.FUNCTION_PATTERNS[key])), F.lit(None).cast("string")
+    )
     cut = files.withColumn("marked", marked)
     found = F.greatest(X.occurrences(F.col("marked"), X.MARK), F.lit(0))
     # Staged, because the lines are read inside lambdas and must not be recomputed there.

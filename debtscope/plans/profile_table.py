@@ -16,10 +16,10 @@ from debtscope.operators.smells import with_smells
 from debtscope.sources.corpus import source_files
 
 
-def profile(files: DataFrame) -> DataFrame:
-    """Metrics, problems, smells, hotspot functions and classes, one row per file."""
+def profile(files: DataFrame, *carry: str) -> DataFrame:
+    """Metrics, problems, smells, hotspot functions and classes, one row per file; ``carry`` names further columns to keep."""
     described = with_classes(with_functions(with_smells(source_files(files))))
-    return with_problems(file_metrics(described, carry=["smells", "functions", "classes"]))
+    return with_problems(file_metrics(described, carry=["smells", "functions", "classes", *carry]))
 
 
 def write_profile(files: DataFrame, path: str) -> DataFrame:

@@ -40,11 +40,19 @@ def csv_rows(metrics: DataFrame) -> DataFrame:
     )
 
 
+def csv_lines(metrics: DataFrame, locale: str = "en", show_all: bool = False) -> DataFrame:
+    """The lines of the CSV report in order: the localized heading, then all files by debt."""
+    rows = csv_rows(ranking.with_override(metrics, show_all))
+    line = F.to_csv(F.struct(*CSV_KEYS), {"escape": '"', "quote": '"'})
+    heading = dims.local_table(metrics.sparkSession, [(0, 0, "", "", ",".join(_label(key, locale) for key in CSV_KEYS))],
+                               "chapter int, debt_score int, repo string, file_path string, line string")
+    lines = heading.unionByName(rows.select(F.lit(1).alias("chapter"), "debt_score", "repo", "file_path", line.alias("line")))
+    return lines.orderBy("chapter", F.col("debt_score").desc(), "repo", "file_path")
+
+
 def write_csv(metrics: DataFrame, path: str, locale: str = "en", show_all: bool = False) -> None:
-    """All files by debt, headed by localized column names."""
-    rows = csv_rows(ranking.with_override(metrics, show_all)).orderBy(F.col("debt_score").desc(), "repo", "file_path")
-    named = rows.select(*[F.col(key).alias(_label(key, locale)) for key in CSV_KEYS])
-    named.write.mode("overwrite").option("header", True).csv(path)
+    """The CSV report as ordered part files, of which only the first has the heading: one after the other they are one file."""
+    csv_lines(metrics, locale, show_all).select("line").write.mode("overwrite").text(path)
 
 
 def _cells(*cells) -> Column:

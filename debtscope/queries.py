@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from debtscope.functions import regex as R, scores as S, text as X
 from debtscope.functions.stage import staged
 from debtscope.operators import diagnose as D, hotspots as H, lines as L, profile as P, ranking as K, rollup as U
-from debtscope.operators import smells as M, syntax as A
+from debtscope.operators import segments as G, smells as M, syntax as A
 from debtscope.operators.matches import match_rows
-from debtscope.plans import advice, report, summary
+from debtscope.plans import advice, report, summary, update
 from debtscope.plans.profile_table import profile
-from debtscope.sources import corpus as C, tables as B
+from debtscope.session import scratch
+from debtscope.sources import corpus as C, tables as B, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,10 +50,6 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.source_files(B.all_files(spark, sf_dir))
 
 
-def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.source_files(B.code_files(spark, sf_dir))
-
-
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.file_metrics(sources(spark, sf_dir))
 
@@ -71,6 +68,14 @@ def _(spark, sf_dir):
     return files.select("file_id", "repo", "path", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
 
 
+@query("src_01_directory_tree")
+def _(spark, sf_dir):
+    """The code corpus as a directory tree in the shared folder, read back through the data source; building the query writes the tree."""
+    root = tree.write(B.code_files(spark, sf_dir), scratch(spark))
+    files = tree.register(spark).read.format("source_tree").option("repo", "code").load(root)
+    return files.select("path", F.length("content").alias("n_bytes"), F.md5("content").alias("digest"), F.coalesce("error", F.lit("none")).alias("error"))
+
+
 @query("src_02_directory_pruning")
 def _(spark, sf_dir):
     return C.prune_directories(B.all_files(spark, sf_dir)).select("file_id", "path")
@@ -83,12 +88,11 @@ def _(spark, sf_dir):
 
 @query("src_04_decoded_text")
 def _(spark, sf_dir):
-    """Documents as bytes with CRLF line ends and malformed bytes at both ends."""
-    raw = F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8")
-    broken = F.concat(F.unhex(F.lit("FF")), raw, F.unhex(F.lit("C3")))
+    """All files as bytes with CRLF line ends, a U+FFFD in front of each space and malformed bytes at both ends."""
+    marked = F.replace(F.replace("content", F.lit(" "), F.lit("\ufffd ")), F.lit("\n"), F.lit("\r\n"))
+    broken = F.concat(F.unhex(F.lit("FF")), F.encode(marked, "UTF-8"), F.unhex(F.lit("C3")))
     text = X.unix_newlines(C.decode(broken))
-    docs = B.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.md5(text).alias("digest"), F.length(text).alias("n_chars"))
+    return B.all_files(spark, sf_dir).select("file_id", F.md5(text).alias("digest"), F.length(text).alias("n_chars"))
 
 
 @query("src_05_lines")
@@ -104,7 +108,7 @@ def _(spark, sf_dir):
 
 @query("src_06_syntax_nodes")
 def _(spark, sf_dir):
-    parsed = code(spark, sf_dir).filter(F.col("lang") == "Python").withColumn("nodes", A.syntax_nodes("strict_text"))
+    parsed = sources(spark, sf_dir).filter(F.col("lang") == "Python").withColumn("nodes", A.syntax_nodes("strict_text"))
     return A.syntax_node_rows(parsed)
 
 
@@ -137,6 +141,12 @@ _line_query("win_01_script_mode", lambda: (F.col("lang") == "HTML") & F.col("tag
 _line_query("win_02_comment_state", lambda: F.col("kind").isin("C", "P", "K"), "in_comment", "kind")
 
 
+@query("win_02_segmented_counts")
+def _(spark, sf_dir):
+    """Line counts from files cut into segments; building the query reduces the segments."""
+    return G.line_counts(G.cut(sources(spark, sf_dir), 400), scratch(spark))
+
+
 @query("prj_01_exempt")
 def _(spark, sf_dir):
     return sources(spark, sf_dir).select("file_id", "is_exempt")
@@ -182,6 +192,12 @@ _columns("prj_15_debt_score", metrics, "file_id", "debt_score")
 _columns("prj_16_quality_score", metrics, "file_id", "quality_score")
 
 
+@query("prj_15_contents_once")
+def _(spark, sf_dir):
+    """Scores from a profile that measures each content once per file type; building the query measures them."""
+    return update.profile_contents(B.all_files(spark, sf_dir), scratch(spark)).select("file_id", "repo", "path", "debt_score", "quality_score")
+
+
 @query("prj_17_display_filter")
 def _(spark, sf_dir):
     return K.displayed(metrics(spark, sf_dir)).select("file_id", "lang")
@@ -238,7 +254,7 @@ def _(spark, sf_dir):
 
 @query("prj_24_reported_files")
 def _(spark, sf_dir):
-    return advice.reported(profile(B.code_files(spark, sf_dir))).select("file_id", "debt_score")
+    return advice.reported(profile(B.all_files(spark, sf_dir))).select("file_id", "debt_score")
 
 
 @query("prj_25_hotspot_filter")
@@ -307,7 +323,7 @@ def _(spark, sf_dir):
 
 def _syntax_metric(name, column):
     query(name)(
-        lambda spark, sf_dir: P.file_metrics(code(spark, sf_dir).filter(F.col("lang") == "Python"))
+        lambda spark, sf_dir: P.file_metrics(sources(spark, sf_dir).filter(F.col("lang") == "Python"))
         .filter("ast_ok")
         .select("file_id", column)
     )
@@ -323,6 +339,19 @@ def _(spark, sf_dir):
     return U.language_rollup(metrics(spark, sf_dir)).drop("avg_cc")
 
 
+@query("agg_08_updated_rollup")
+def _(spark, sf_dir):
+    """The rollup carried on from an earlier state, in which some files were missing, some were others and some were more; building the query measures both."""
+    folder, files = scratch(spark), B.all_files(spark, sf_dir)
+    more = files.filter(F.col("file_id") % 11 == 0).withColumn("file_id", -F.col("file_id") - 1)
+    other = F.when(F.col("file_id") % 5 == 0, F.concat(F.lit("x = 1\n"), "content")).otherwise(F.col("content"))
+    earlier = files.filter(F.col("file_id") % 7 != 0).withColumn("content", other).unionByName(more)
+    before = update.write_digested(earlier, f"{folder}/before")
+    after = update.update_profile(files, f"{folder}/before", f"{folder}/after", folder)
+    gone, came = update.changes(before, after)
+    return update.merged_rollup(U.language_rollup(before), gone, came).drop("avg_cc")
+
+
 @query("agg_09_average_complexity")
 def _(spark, sf_dir):
     return U.language_rollup(metrics(spark, sf_dir)).select("lang", "avg_cc")
@@ -343,18 +372,14 @@ def _(spark, sf_dir):
     return U.boilerplate_share(metrics(spark, sf_dir))
 
 
-PATTERN_KEYS = [key for key in R.SMELL_PATTERNS if key not in ("magic_number", "duplicate_string")]
-
-
 @query("agg_13_smell_counts")
 def _(spark, sf_dir):
-    return M.smell_rows(sources(spark, sf_dir)).filter(F.col("key").isin(PATTERN_KEYS)).select("file_id", "key", "count")
+    return M.smell_rows(sources(spark, sf_dir)).select("file_id", "key", "count")
 
 
 @query("agg_14_smell_samples")
 def _(spark, sf_dir):
-    rows = M.smell_rows(sources(spark, sf_dir)).filter(~F.col("key").isin("magic_number", "duplicate_string"))
-    return rows.select("file_id", "key", "lines")
+    return M.smell_rows(sources(spark, sf_dir)).select("file_id", "key", "lines")
 
 
 @query("agg_15_deep_nesting_places")
@@ -431,7 +456,7 @@ def _(spark, sf_dir):
 
 @query("top_06_smells")
 def _(spark, sf_dir):
-    found = M.with_smells(code(spark, sf_dir).select("file_id", "text"))
+    found = M.with_smells(sources(spark, sf_dir).select("file_id", "text"))
     rows = found.select("file_id", F.posexplode(F.slice("smells", 1, 5)).alias("pos", "s"))
     return rows.select("file_id", (F.col("pos") + 1).alias("rank"), "s.key", "s.count")
 
@@ -452,7 +477,7 @@ def _(spark, sf_dir):
 
 @query("set_01_all_smells")
 def _(spark, sf_dir):
-    return M.smell_rows(code(spark, sf_dir)).select("file_id", "detector_no", "key", "count")
+    return M.smell_rows(sources(spark, sf_dir)).select("file_id", "detector_no", "key", "count")
 
 
 @query("set_02_all_problems")
@@ -467,11 +492,9 @@ def _(spark, sf_dir):
 
 
 def _smell_query(number: int, key: str, *columns: str) -> None:
-    corpus = code if key in ("magic_number", "duplicate_string") else sources
-
     @query(f"sml_{number:02d}_{key}")
     def _(spark, sf_dir):
-        rows = M.smell_rows(corpus(spark, sf_dir)).filter(F.col("key") == key)
+        rows = M.smell_rows(sources(spark, sf_dir)).filter(F.col("key") == key)
         if key == "long_function":
             detail = F.transform("details", lambda d: F.concat_ws(":", d["name"], d["length"].cast("string")))
             rows = rows.withColumn("details", detail)
@@ -479,7 +502,7 @@ def _smell_query(number: int, key: str, *columns: str) -> None:
 
 
 for _number, _key in enumerate(list(R.SMELL_PATTERNS) + ["long_lines"], 1):
-    _smell_query(_number, _key, *(() if _key in ("magic_number", "duplicate_string") else ("lines",)))
+    _smell_query(_number, _key, "lines")
 _smell_query(11, "long_function", "lines", "details")
 
 
@@ -538,6 +561,12 @@ def _(spark, sf_dir):
     return report.csv_rows(metrics(spark, sf_dir)).withColumnRenamed("Type", "type")
 
 
+@query("snk_01_csv_lines")
+def _(spark, sf_dir):
+    """The CSV report as its lines, one heading among them."""
+    return report.csv_lines(metrics(spark, sf_dir)).select("repo", "line")
+
+
 @query("snk_02_file_table")
 def _(spark, sf_dir):
     return report.table_lines(metrics(spark, sf_dir))
@@ -545,13 +574,13 @@ def _(spark, sf_dir):
 
 @query("snk_03_advice_report")
 def _(spark, sf_dir):
-    return advice.report_sections(profile(B.code_files(spark, sf_dir)))
+    return advice.report_sections(profile(B.all_files(spark, sf_dir)))
 
 
 @query("snk_03_report_problems_and_hotspots")
 def _(spark, sf_dir):
-    """The report without its smell chapter, whose line samples have no SQL equivalent."""
-    return advice.report_sections(profile(B.code_files(spark, sf_dir))).filter("section <> 3")
+    """The report's chapters on problems and hotspot functions."""
+    return advice.report_sections(profile(B.all_files(spark, sf_dir))).filter("section <> 3")
 
 
 @query("snk_04_summary")
@@ -566,4 +595,4 @@ def _(spark, sf_dir):
 
 @query("snk_06_advice")
 def _(spark, sf_dir):
-    return advice.top_file_advice(profile(B.code_files(spark, sf_dir)))
+    return advice.top_file_advice(profile(B.all_files(spark, sf_dir)))

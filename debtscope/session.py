@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: One row of ``files`` holds a whole source text, expands to several arrays of its size and
@@ -34,3 +36,16 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which the driver and every executor can reach.
+
+    A session on one machine may leave the setting out; its folder is beside the warehouse.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

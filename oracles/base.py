@@ -79,7 +79,7 @@ def query(final: str, *deps: str) -> str:
     for dep in deps:
         visit(dep)
     body = ",\n".join(f"{name} AS ({CTE[name][1]})" for name in ordered)
-    return f"WITH {body}\n{final}" if body else final
+    return f"WITH RECURSIVE {body}\n{final}" if body else final
 
 
 cte("templates", values([(t.family, t.k, t.body, t.magic, t.duplicate) for t in T.TEMPLATES], "family, k, body, magic, dup"))

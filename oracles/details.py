@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from debtscope import dims
 from oracles.base import cte, hits, lead, newlines, q, strip
+from oracles.fixed import CLASS_PATTERNS, FUNCTION_PATTERNS, KEYWORDS, SMELL_PATTERNS
 
 cte(
     "advisor",
@@ -30,16 +31,9 @@ def match_rows(lists: str, extra: str = "") -> str:
                FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM ({lists}))))"""
 
 
-# Patterns RE2 can run as they are; the other two are checked through template weights.
-SMELLS = {
-    "deep_nesting": r"(?m)^(?:\t{5,}|[ ]{20,})[^\s]",
-    "long_param_list": r"(?:def|function|func)\s+\w+\s*\([^)]{80,}\)|(?:public|private|protected)\s+\w+\s+\w+\s*\([^)]{80,}\)",
-    "print_debug": r"(?i)\b(?:print|console\.log|System\.out\.print|fmt\.Print|var_dump|dd)\s*\(",
-    "todo_fixme": r"(?i)(?:#|//|/\*)\s*(?:TODO|FIXME|XXX|HACK|BUG)\b",
-    "bare_except": r"(?m)\bexcept\s*:\s*$",
-    "hardcoded_path": r"""["'][A-Za-z]:\\|["']/(?:home|usr|var|etc|opt|tmp)/""",
-    "commented_code": r"(?:#|//)\s*(?:if|for|def|class|return|import|function|var|let|const)\s+\w+",
-}
+# RE2 has no look-around and no back references; these two are taken apart below.
+_APART = ("magic_number", "duplicate_string")
+SMELLS = {key: pattern for key, pattern in SMELL_PATTERNS.items() if key not in _APART}
 for _key, _pattern in SMELLS.items():
     cte(f"hits_{_key}", match_rows(match_lists(_pattern)), "src")
 _NUMBER = {key: no for no, key, *_ in dims.SMELLS}
@@ -52,14 +46,75 @@ cte(
     ),
     *[f"hits_{key}" for key in SMELLS],
 )
+# Magic numbers: a number is a whole run of word characters, all digits, that no quote touches; behind
+# it a point and a further run may belong to it.  In a chain of such runs every other one is used up.
+_QUOTE = """IN ('"', '''')"""
+cte("word_runs", match_rows(match_lists(r"[\p{L}\p{N}_]+", r"regexp_matches(text, '\p{Nd}')")), "src")
 cte(
-    "weighted_smells",
-    """SELECT r.file_id, detector_no, key, sum(w)::BIGINT AS count, NULL::BIGINT[] AS lines
-       FROM (SELECT file_id, unnest([2, 4]) AS detector_no, unnest(['magic_number', 'duplicate_string']) AS key, unnest([magic, dup]) AS w
-             FROM code_rows JOIN templates USING (family, k)) r JOIN src USING (file_id)
-       GROUP BY ALL HAVING sum(w) > 0""",
-    "code_rows", "templates", "src",
+    "number_runs",
+    rf"""SELECT *, digits AND length(m) > 1 AND right(before, 1) NOT {_QUOTE} AND left(gap, 1) NOT {_QUOTE} AS fits,
+        digits_after AND gap = '.' AND left(gap_after, 1) NOT {_QUOTE} AS goes_on
+        FROM (SELECT file_id, k, m, before, gap, line, regexp_full_match(m, '\p{{Nd}}+') AS digits,
+                     lead(regexp_full_match(m, '\p{{Nd}}+'), 1, false) OVER w AS digits_after, lead(gap, 1, '') OVER w AS gap_after
+              FROM word_runs WINDOW w AS (PARTITION BY file_id ORDER BY k))""",
+    "word_runs",
 )
+cte(
+    "number_chains",
+    """SELECT *, k - max(CASE WHEN follows THEN 0 ELSE k END) OVER (PARTITION BY file_id ORDER BY k) AS in_chain
+       FROM (SELECT *, lag(fits AND goes_on, 1, false) OVER (PARTITION BY file_id ORDER BY k) AS follows FROM number_runs)""",
+    "number_runs",
+)
+cte(
+    "hits_magic_number",
+    """SELECT file_id, k, line FROM number_chains WHERE fits AND in_chain % 2 = 0
+       UNION ALL SELECT file_id, k, line FROM (SELECT file_id, k, line, unnest(regexp_extract_all(m, '0x[0-9a-fA-F]{4,}')) FROM word_runs)""",
+    "number_chains", "word_runs",
+)
+# Repeated strings: what stands between two neighbouring quotes and comes again on the same line,
+# within 2,000 characters; a match uses up all in between, so the matches are walked along.
+cte(
+    "quotes",
+    "SELECT file_id, k, m, gap, line, sum(length(before) + 1) OVER (PARTITION BY file_id ORDER BY k) AS pos FROM ("
+    + match_rows(match_lists("""["']""")) + ")",
+    "src",
+)
+cte(
+    "quoted",
+    """SELECT file_id, k, line, pos, m || gap || lead(m) OVER w AS piece, length(gap) AS size, lead(line) OVER w AS end_line, lead(pos) OVER w AS end_pos
+       FROM quotes WINDOW w AS (PARTITION BY file_id ORDER BY k)""",
+    "quotes",
+)
+cte(
+    "repeated",
+    """SELECT file_id, k, line, again FROM (
+         SELECT file_id, k, line, end_line, end_pos, CASE WHEN k1 > k + 1 THEN k1 ELSE k2 END AS again,
+                CASE WHEN k1 > k + 1 THEN line1 ELSE line2 END AS again_line, CASE WHEN k1 > k + 1 THEN pos1 ELSE pos2 END AS again_pos
+         FROM (SELECT *, lead(k) OVER w AS k1, lead(line) OVER w AS line1, lead(pos) OVER w AS pos1,
+                      lead(k, 2) OVER w AS k2, lead(line, 2) OVER w AS line2, lead(pos, 2) OVER w AS pos2
+               FROM quoted WHERE size >= 10 AND piece IS NOT NULL WINDOW w AS (PARTITION BY file_id, piece ORDER BY k)))
+       WHERE again_line = end_line AND again_pos - end_pos - 1 <= 2000""",
+    "quoted",
+)
+cte(
+    "repeated_next",
+    """SELECT a.*, b.k AS next_k, row_number() OVER (PARTITION BY a.file_id ORDER BY a.k) AS turn
+       FROM repeated a ASOF LEFT JOIN repeated b ON a.file_id = b.file_id AND a.again + 2 <= b.k""",
+    "repeated",
+)
+cte(
+    "hits_duplicate_string",
+    """SELECT file_id, k, line, next_k FROM repeated_next WHERE turn = 1
+       UNION ALL SELECT r.file_id, r.k, r.line, r.next_k FROM hits_duplicate_string h JOIN repeated_next r ON r.file_id = h.file_id AND r.k = h.next_k""",
+    "repeated_next",
+)
+for _key in _APART:
+    cte(
+        f"smells_{_key}",
+        f"""SELECT file_id, {_NUMBER[_key]} AS detector_no, {q(_key)} AS key, count(*) AS count,
+            list_slice(list(line ORDER BY k), 1, 5) AS lines FROM hits_{_key} GROUP BY file_id""",
+        f"hits_{_key}",
+    )
 cte(
     "long_lines",
     "SELECT file_id, count(*) AS count, list_slice(list(n ORDER BY n), 1, 5) AS lines FROM advisor WHERE length(line) > 120 GROUP BY file_id",
@@ -82,10 +137,11 @@ cte(
 cte(
     "smells",
     """SELECT file_id, detector_no, key, count, lines FROM pattern_smells
-       UNION ALL SELECT * FROM weighted_smells
+       UNION ALL SELECT * FROM smells_magic_number
+       UNION ALL SELECT * FROM smells_duplicate_string
        UNION ALL SELECT file_id, 10, 'long_lines', count, lines FROM long_lines
        UNION ALL SELECT file_id, 11, 'long_function', count, lines FROM long_functions""",
-    "pattern_smells", "weighted_smells", "long_lines", "long_functions",
+    "pattern_smells", "smells_magic_number", "smells_duplicate_string", "long_lines", "long_functions",
 )
 cte(
     "deep_lines",
@@ -112,36 +168,6 @@ cte(
 
 # --- functions and classes -------------------------------------------------------------------
 
-FUNCTIONS = {
-    "Python": (r"(?m)^ *(?:async\s+)?def\s+(\w+)\s*\([^)]*\)", 1),
-    "JavaScript": (r"function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>)", 2),
-    "TypeScript": (
-        r"function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*(?::\s*[^=]+)?\s*=|(\w+)\s*\([^)]*\)\s*(?::\s*\w+)?\s*\{", 3),
-    "Java": (
-        r"(?:public|private|protected|static|\s)+\s+\w+(?:<[^>]*>)?\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{", 1),
-    "C": (r"(?m)^\w[\w\s\*]+\s+(\w+)\s*\([^)]*\)\s*\{", 1),
-    "C++": (r"(?:[\w:]+\s+)?(\w+)\s*\([^)]*\)\s*(?:const)?\s*(?:override)?\s*\{", 1),
-    "C#": (
-        r"(?:public|private|protected|internal|static|async|virtual|override|\s)+\s+\w+(?:<[^>]*>)?\s+(\w+)\s*\([^)]*\)", 1),
-    "PHP": (r"(?:public|private|protected|static|\s)*function\s+(\w+)\s*\([^)]*\)", 1),
-    "Go": (r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*\([^)]*\)", 1),
-    "Rust": (r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", 1),
-    "Kotlin": (r"(?:fun|suspend\s+fun)\s+(\w+)\s*\(", 1),
-    "Lua": (r"(?:local\s+)?function\s+(\w+)\s*\(|(\w+)\s*=\s*function\s*\(", 2),
-}
-CLASSES = {
-    "Python": (r"(?m)^( *)class\s+(\w+)", 2),
-    "JavaScript": (r"class\s+(\w+)", 1),
-    "TypeScript": (r"class\s+(\w+)", 1),
-    "Java": (r"(?:public|private|protected)?\s*(?:abstract)?\s*class\s+(\w+)", 1),
-    "C++": (r"class\s+(\w+)", 1),
-    "C#": (r"(?:public|private|protected|internal)?\s*(?:partial|abstract|sealed)?\s*class\s+(\w+)", 1),
-    "PHP": (r"class\s+(\w+)", 1),
-    "Rust": (r"(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)", 1),
-    "Kotlin": (r"(?:class|object|interface)\s+(\w+)", 1),
-}
-
-
 def _function_matches(extractor: str, pattern: str, groups: int) -> str:
     name = "coalesce(" + ", ".join(f"nullif(g{i}[k], '')" for i in range(1, groups + 1)) + ")"
     extra = "".join(f", g{i}" for i in range(1, groups + 1))
@@ -149,7 +175,7 @@ def _function_matches(extractor: str, pattern: str, groups: int) -> str:
     return f"SELECT file_id, {q(extractor)} AS extractor, k, line, {name} AS name, m || gap AS segment, m FROM ({rows})"
 
 
-cte("function_matches", " UNION ALL ".join(_function_matches(key, *spec) for key, spec in FUNCTIONS.items()), "src")
+cte("function_matches", " UNION ALL ".join(_function_matches(key, *spec) for key, spec in FUNCTION_PATTERNS.items()), "src")
 _TOKENS = r"""\\[\s\S]?|"(?:[^"\\]|\\[\s\S]?)*(?:"|\z)|'(?:[^'\\]|\\[\s\S]?)*(?:'|\z)|[{}\n]"""
 cte(
     "brace_tokens",
@@ -177,11 +203,10 @@ cte(
         WHERE f.extractor = 'Python' GROUP BY f.file_id, f.k, f.line, z.n_lines""",
     "function_matches", "advisor", "advisor_size",
 )
-_KEYWORDS = r"\b(?:if|else|elif|for|while|switch|case|catch|except|try|and|or|&&|\|\|)\b"
 cte(
     "functions",
     f"""SELECT f.file_id, f.k, f.extractor, f.name, f.line, l.length,
-        1 + {hits("string_agg(a.line, chr(10) ORDER BY a.n)", _KEYWORDS)} AS complexity,
+        1 + {hits("string_agg(a.line, chr(10) ORDER BY a.n)", KEYWORDS)} AS complexity,
         max(CASE WHEN {strip('a.line')} = '' THEN 0 ELSE {lead('a.line')} // 4 END) AS nesting
         FROM function_matches f JOIN (FROM braced_lengths UNION ALL FROM indented_lengths) l USING (file_id, k)
         JOIN advisor a ON a.file_id = f.file_id AND a.n BETWEEN f.line AND f.line + l.length
@@ -198,7 +223,7 @@ cte(
     "class_matches",
     " UNION ALL ".join(
         f"SELECT file_id, g{group}[k] AS name, line FROM ({match_rows(match_lists(pattern, f'extractor = {q(key)}', group), f', g{group}')})"
-        for key, (pattern, group) in CLASSES.items()
+        for key, (pattern, group) in CLASS_PATTERNS.items()
     ),
     "src",
 )

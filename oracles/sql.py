@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from debtscope import dims
 from oracles import details  # noqa: F401  (registers its expressions)
-from oracles.base import cte, hits, q, query, values
+from oracles.base import cte, hits, lookup, q, query, values
 from oracles.details import SMELLS
 
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,12 @@ def _joined(name: str, sep: str = ",") -> str:
 # --- sources ---------------------------------------------------------------------------------
 
 put("src_01_corpus_scan", "SELECT file_id, repo, path, length(content) AS n_chars, md5(content) AS digest FROM files", "files")
+put(
+    "src_01_directory_tree",
+    """SELECT repo || '/' || path AS path, octet_length(encode(content))::BIGINT AS n_bytes, md5(content) AS digest, 'none' AS error FROM kept
+       WHERE file_id IN (SELECT file_id FROM code_files)""",
+    "kept", "code_files",
+)
 put("src_02_directory_pruning", "SELECT file_id, path FROM kept", "kept")
 put(
     "src_03_language",
@@ -32,7 +38,11 @@ put(
     "AND l.ext = lower(string_split(path, '.')[-1])",
     "files", "languages",
 )
-put("src_04_decoded_text", "SELECT doc_id, md5(text) AS digest, length(text) AS n_chars FROM documents")
+put(
+    "src_04_decoded_text",
+    "SELECT file_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT file_id, replace(content, ' ', chr(65533) || ' ') AS t FROM files)",
+    "files",
+)
 put(
     "src_05_lines",
     """SELECT s.file_id, coalesce(m.c, 0)::BIGINT AS metric_lines, a.c AS advisor_lines, a.longest FROM src s
@@ -89,11 +99,14 @@ put("prj_13_lone_bracket", _COUNT.format("lines", "kind = 'P'"), "lines")
 put("win_01_script_mode", "SELECT file_id, n::BIGINT AS n, in_script FROM lines WHERE html AND tag IS NULL", "lines")
 put("win_02_comment_state", "SELECT file_id, n::BIGINT AS n, in_comment, kind FROM lines WHERE kind IN ('C', 'P', 'K')", "lines")
 
+put("win_02_segmented_counts", f"SELECT file_id, {_ints('total', 'code', 'comments', 'boilerplate', 'logic_lines')} FROM metrics", "metrics")
+
 # --- scores, labels and filters ----------------------------------------------------------------
 
 put("prj_14_html_relabel", f"SELECT file_id, lang, {_ints('logic_lines')} FROM metrics WHERE starts_with(lang, 'HTML')", "metrics")
 put("prj_15_debt_score", f"SELECT file_id, {_ints('debt_score')} FROM metrics", "metrics")
 put("prj_16_quality_score", f"SELECT file_id, {_ints('quality_score')} FROM metrics", "metrics")
+put("prj_15_contents_once", f"SELECT file_id, repo, path, {_ints('debt_score', 'quality_score')} FROM metrics", "metrics")
 put("prj_17_display_filter", "SELECT file_id, lang FROM metrics WHERE scored", "metrics")
 _ALL_DEBT = "CASE WHEN scored THEN debt_score ELSE trunc(total / 50::DOUBLE + (max_nesting - 4) * 10) END"
 put("prj_18_all_mode_override", f"SELECT file_id, ({_ALL_DEBT})::BIGINT AS debt_score FROM metrics", "metrics")
@@ -117,10 +130,10 @@ _SHOWN = "path || CASE WHEN NOT is_logic AND logic_lines >= 5 THEN ' [JavaScript
 put("prj_22_shown_path", f"SELECT file_id, {_SHOWN} AS shown_path, {_QUALITY} AS quality_text FROM metrics", "metrics")
 _HINT = "CASE WHEN complexity > 20 THEN 'hint_split' WHEN length > 50 THEN 'hint_extract' WHEN nesting > 4 THEN 'hint_guard' ELSE {} END"
 put("prj_23_hotspot_hint", f"SELECT file_id, rank, {_HINT.format(q('none'))} AS hint FROM hotspots", "hotspots")
-_REPORTED = """SELECT m.* FROM metrics m JOIN code_src USING (file_id)
+_REPORTED = """SELECT * FROM metrics
     WHERE file_id IN (SELECT file_id FROM problems)
        OR (debt_score >= 5 AND file_id IN (SELECT file_id FROM smells UNION SELECT file_id FROM hotspots))"""
-_REPORT_DEPS = ("metrics", "code_src", "problems", "smells", "hotspots")
+_REPORT_DEPS = ("metrics", "problems", "smells", "hotspots")
 put("prj_24_reported_files", f"SELECT file_id, {_ints('debt_score')} FROM ({_REPORTED})", *_REPORT_DEPS)
 _FUNCTION_COLUMNS = "file_id, name, line::BIGINT AS line, length::BIGINT AS length, complexity::BIGINT AS complexity"
 put("prj_25_hotspot_filter", f"SELECT {_FUNCTION_COLUMNS} FROM hotspots", "hotspots")
@@ -153,6 +166,7 @@ _ROLLUP = """count(*) AS files, sum(total)::BIGINT AS total, sum(code)::BIGINT A
              sum(boilerplate)::BIGINT AS boilerplate, sum(imports)::BIGINT AS imports, sum(complexity)::BIGINT AS cc"""
 _AVERAGE = "CASE WHEN sum(complexity) > 0 THEN format('{:.1f}', sum(complexity)::DOUBLE / count(*)) ELSE '-' END"
 put("agg_08_language_rollup", f"SELECT lang, {_ROLLUP} FROM metrics GROUP BY lang", "metrics")
+put("agg_08_updated_rollup", f"SELECT lang, {_ROLLUP} FROM metrics GROUP BY lang", "metrics")
 put("agg_09_average_complexity", f"SELECT lang, {_AVERAGE} AS avg_cc FROM metrics GROUP BY lang", "metrics")
 _TOTALS = f"""SELECT lang, false AS is_total, {_AVERAGE} AS avg_cc, {_ROLLUP} FROM metrics GROUP BY lang
               UNION ALL SELECT 'TOTAL', true, '-', {_ROLLUP} FROM metrics"""
@@ -163,14 +177,8 @@ put(
     "SELECT sum(total)::BIGINT AS total, sum(boilerplate)::BIGINT AS boilerplate, format('{:.1f}', sum(boilerplate)::DOUBLE / sum(total) * 100) AS share FROM metrics",
     "metrics",
 )
-put("agg_13_smell_counts", "SELECT file_id, key, count FROM pattern_smells", "pattern_smells")
-put(
-    "agg_14_smell_samples",
-    """SELECT file_id, key, array_to_string(lines, ',') AS lines FROM
-       (SELECT file_id, key, lines FROM pattern_smells UNION ALL SELECT file_id, 'long_lines', lines FROM long_lines
-        UNION ALL SELECT file_id, 'long_function', lines FROM long_functions)""",
-    "pattern_smells", "long_lines", "long_functions",
-)
+put("agg_13_smell_counts", "SELECT file_id, key, count FROM smells", "smells")
+put("agg_14_smell_samples", f"SELECT file_id, key, {_joined('lines')} FROM smells", "smells")
 _PLACES = """SELECT file_id, string_agg(entry, ';' ORDER BY func IS NULL, first_hit) AS places FROM
     (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY func IS NULL, first_hit) AS no FROM deep_groups)
     WHERE no <= {} GROUP BY file_id"""
@@ -214,23 +222,23 @@ put("top_05_problems", f"SELECT file_id, rank, key, {_ints('severity')} FROM pro
 put(
     "top_06_smells",
     """SELECT file_id, rank, key, count FROM
-       (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY detector_no) AS rank FROM smells JOIN (SELECT file_id FROM code_src) USING (file_id))
+       (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY detector_no) AS rank FROM smells)
        WHERE rank <= 5""",
-    "smells", "code_src",
+    "smells",
 )
 put("top_07_advised_files", f"SELECT repo, path, {_ints('debt_score')} FROM ({_TOP} 5)", "metrics")
 put("top_08_report_order", f"SELECT repo, path, {_ints('debt_score')} FROM metrics {_BY_DEBT}", "metrics")
 
 # --- sets, smells ------------------------------------------------------------------------------
 
-put("set_01_all_smells", f"SELECT file_id, {_ints('detector_no')}, key, count FROM smells JOIN (SELECT file_id FROM code_src) USING (file_id)", "smells", "code_src")
+put("set_01_all_smells", f"SELECT file_id, {_ints('detector_no')}, key, count FROM smells", "smells")
 put("set_02_all_problems", f"SELECT file_id, key, {_ints('severity')}, value::DOUBLE AS value FROM problems", "problems")
 put("set_03_distinct_lines", "SELECT DISTINCT file_id, line::BIGINT AS line FROM hits_hardcoded_path", "hits_hardcoded_path")
 _NUMBERS = {key: no for no, key, *_ in dims.SMELLS}
 for _key in SMELLS:
     put(f"sml_{_NUMBERS[_key]:02d}_{_key}", f"SELECT file_id, count, {_joined('lines')} FROM pattern_smells WHERE key = {q(_key)}", "pattern_smells")
 for _key in ("magic_number", "duplicate_string"):
-    put(f"sml_{_NUMBERS[_key]:02d}_{_key}", f"SELECT file_id, count FROM weighted_smells WHERE key = {q(_key)}", "weighted_smells")
+    put(f"sml_{_NUMBERS[_key]:02d}_{_key}", f"SELECT file_id, count, {_joined('lines')} FROM smells_{_key}", f"smells_{_key}")
 put("sml_10_long_lines", f"SELECT file_id, count, {_joined('lines')} FROM long_lines", "long_lines")
 put("sml_11_long_function", f"SELECT file_id, count, {_joined('lines')}, details FROM long_functions", "long_functions")
 
@@ -259,6 +267,13 @@ put(
         {_TYPE} AS type, total::BIGINT AS lines, {_ints('code', 'comments', 'imports')} FROM metrics""",
     "metrics",
 )
+put(
+    "snk_01_csv_lines",
+    f"""SELECT repo, path || ',' || lang || ',' || debt_score::BIGINT || ',' || {_QUALITY} || ',' || {_VALUE} || ',' || {_TYPE} || ',' || total::BIGINT
+        || ',' || code::BIGINT || ',' || comments::BIGINT || ',' || imports::BIGINT AS line FROM metrics
+        UNION ALL SELECT '', 'File Path,Language,Debt Score,Quality Score,Complexity,Type,Lines,Code,Comments,Imports'""",
+    "metrics",
+)
 put(
     "snk_02_file_table",
     f"""SELECT repo, path, {_ints('debt_score')}, '| `' || path || '` | ' || lang || ' | ' || debt_score::BIGINT || ' | ' || {_QUALITY} || ' | '
@@ -310,5 +325,69 @@ _REPORT_LINES = [
     _lines(4, "-1", 0, "'---'", "reported"),
     _lines(4, "-1", 1, "''", "reported"),
 ]
+_PLAIN_SMELLS = [(key, name, tip, dims.SMELL_DISPLAY_EN.get(key, name)) for _, key, name, tip, *_ in dims.SMELLS]
+_SAMPLES = "array_to_string(list_slice(list_transform(lines, lambda n: 'L' || n::BIGINT), 1, 3), ', ') || CASE WHEN len(lines) > 3 THEN '...' ELSE '' END"
+cte(
+    "shown_smells",
+    f"""SELECT s.*, n.name, n.tip, n.display, {_SAMPLES} AS samples, row_number() OVER (PARTITION BY file_id ORDER BY detector_no) AS rank
+        FROM smells s JOIN ({values(_PLAIN_SMELLS, 'key, name, tip, display')}) n USING (key)""",
+    "smells",
+)
 cte("reported", _REPORTED, *_REPORT_DEPS)
+_WITH_SMELLS = "reported WHERE file_id IN (SELECT file_id FROM smells)"
+_SMELL_SOURCE = _KEYED.format("(SELECT * FROM shown_smells WHERE rank <= 5)")
+_SMELL_LINES = [
+    _lines(3, "-1", 0, "'#### Code Smells'", _WITH_SMELLS),
+    _lines(3, "-1", 1, "''", _WITH_SMELLS),
+    _lines(3, "rank - 1", 0, "'- ⚠️ **' || name || '** × ' || count || ' [' || samples || ']' || CASE WHEN tip <> '' THEN ' → ' || tip ELSE '' END", _SMELL_SOURCE),
+]
+put("snk_03_advice_report", " UNION ALL ".join(_REPORT_LINES + _SMELL_LINES), "reported", "shown_smells")
 put("snk_03_report_problems_and_hotspots", " UNION ALL ".join(_REPORT_LINES), "reported")
+
+# the first five of the top ten, with their problems, three functions and three smells
+cte("advised", f"{_TOP} 5", "metrics")
+cte(
+    "smell_places",
+    f"""SELECT file_id, array_to_string(list_slice(list(entry ORDER BY func IS NULL, first_hit), 1, 3), ', ')
+        || CASE WHEN count(*) > 3 THEN '...' ELSE '' END AS place FROM deep_groups GROUP BY file_id""",
+    "deep_groups",
+)
+cte(
+    "smell_functions",
+    """SELECT file_id, ' → ' || array_to_string(list_slice(list(name || '(' || (end_line - start_line) || 'lines)' ORDER BY k), 1, 3), ', ') AS detail
+       FROM def_ranges WHERE end_line - start_line > 50 GROUP BY file_id""",
+    "def_ranges",
+)
+_LABEL_TEXT = {key: text for key, locale, text in dims.label_rows() if locale == "en"}
+_MINE = "advised JOIN {} USING (file_id)"
+_ADVISED_PROBLEMS = _MINE.format(
+    f"(SELECT * FROM problems JOIN ({values([(k, d, s[0], s[1]) for k, own, d, s in dims.ADVICE if own == 'en'], 'key, diagnosis, tip1, tip2')}) USING (key))"
+)
+_ADVISED_FUNCTIONS = f"""(SELECT repo, path, debt_score, rank, name, line, length, f.complexity, nesting,
+    {lookup({key: _LABEL_TEXT[key] for key in ("hint_split", "hint_extract", "hint_guard")}, "hint")} AS hint_text
+    FROM advised JOIN (SELECT *, {_HINT.format("NULL")} AS hint FROM hotspots WHERE rank <= 3) f USING (file_id))"""
+_ADVISED_SMELLS = """(SELECT repo, path, debt_score, rank, display, count, coalesce(place, samples) AS place, coalesce(detail, '') AS detail, tip
+    FROM advised JOIN shown_smells s USING (file_id) LEFT JOIN smell_places p ON p.file_id = s.file_id AND s.key = 'deep_nesting'
+    LEFT JOIN smell_functions f ON f.file_id = s.file_id AND s.key = 'long_function' WHERE rank <= 3)"""
+_HAS = "advised WHERE file_id IN (SELECT file_id FROM {})"
+_ADVICE_LINES = [
+    _lines(0, "-1", 0, "'📄 ' || path || ' (Debt Score: ' || debt_score::BIGINT || ')'", _HAS.format("problems UNION SELECT file_id FROM hotspots UNION SELECT file_id FROM smells")),
+    _lines(1, "rank - 1", 0, "'  ■ ' || diagnosis || ' (value: ' || value_text || ')'", _ADVISED_PROBLEMS),
+    _lines(1, "rank - 1", 1, "'    ' || tip1", _ADVISED_PROBLEMS),
+    _lines(1, "rank - 1", 2, "'    ' || tip2", _ADVISED_PROBLEMS),
+    _lines(2, "-1", 0, q("  " + _LABEL_TEXT["hotspot_title"]), _HAS.format("hotspots")),
+    _lines(
+        2, "rank - 1", 0,
+        "'    🔥 ' || name || '() [L' || line::BIGINT || '] CC=' || complexity::BIGINT || ', ' || length::BIGINT || ' lines, nesting ' || nesting::BIGINT",
+        _ADVISED_FUNCTIONS,
+    ),
+    _lines(2, "rank - 1", 1, "'      ' || hint_text", _ADVISED_FUNCTIONS + " WHERE hint_text IS NOT NULL"),
+    _lines(3, "-1", 0, q("  " + _LABEL_TEXT["smell_title"]), _HAS.format("smells")),
+    _lines(3, "rank - 1", 0, "'    ⚠ ' || display || ' × ' || count || ' [' || place || ']' || detail", _ADVISED_SMELLS),
+    _lines(3, "rank - 1", 1, "'      └ ' || tip", _ADVISED_SMELLS + " WHERE tip <> ''"),
+]
+put(
+    "snk_06_advice",
+    " UNION ALL ".join(_ADVICE_LINES),
+    "advised", "problems", "hotspots", "shown_smells", "smell_places", "smell_functions",
+)
