@@ -7,30 +7,12 @@ import time
 import pytest
 
 from debtscope.operators.hotspots import class_rows, function_rows, with_functions
+from oracles.fixed import CLASS_PATTERNS, FUNCTION_PATTERNS, KEYWORDS
 
 EXTENSION = {"Python": "py", "JavaScript": "js", "TypeScript": "ts", "Java": "java", "C": "c", "C++": "cpp", "C#": "cs", "PHP": "php",
              "Go": "go", "Rust": "rs", "Kotlin": "kt", "Lua": "lua"}
-FUNCTIONS = {
-    "Python": r"(?m)^ *(?:async\s+)?def\s+(\w+)\s*\([^)]*\)",
-    "JavaScript": r"function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>)",
-    "TypeScript": r"function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*(?::\s*[^=]+)?\s*=|(\w+)\s*\([^)]*\)\s*(?::\s*\w+)?\s*\{",
-    "Java": r"(?:public|private|protected|static|\s)+\s+\w+(?:<[^>]*>)?\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{",
-    "C": r"(?m)^\w[\w\s\*]+\s+(\w+)\s*\([^)]*\)\s*\{",
-    "C++": r"(?:[\w:]+\s+)?(\w+)\s*\([^)]*\)\s*(?:const)?\s*(?:override)?\s*\{",
-    "C#": r"(?:public|private|protected|internal|static|async|virtual|override|\s)+\s+\w+(?:<[^>]*>)?\s+(\w+)\s*\([^)]*\)",
-    "PHP": r"(?:public|private|protected|static|\s)*function\s+(\w+)\s*\([^)]*\)",
-    "Go": r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*\([^)]*\)",
-    "Rust": r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)",
-    "Kotlin": r"(?:fun|suspend\s+fun)\s+(\w+)\s*\(",
-    "Lua": r"(?:local\s+)?function\s+(\w+)\s*\(|(\w+)\s*=\s*function\s*\(",
-}
-CLASSES = {
-    "Java": r"(?:public|private|protected)?\s*(?:abstract)?\s*class\s+(\w+)",
-    "C#": r"(?:public|private|protected|internal)?\s*(?:partial|abstract|sealed)?\s*class\s+(\w+)",
-    "Python": r"(?m)^ *class\s+(\w+)",
-    "Rust": r"(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)",
-    "Kotlin": r"(?:class|object|interface)\s+(\w+)",
-}
+FUNCTIONS = {key: pattern for key, (pattern, _) in FUNCTION_PATTERNS.items()}
+CLASSES = [key for key in CLASS_PATTERNS if key in ("Java", "C#", "Python", "Rust", "Kotlin")]
 WORDS = [
     "public ", "static ", "private", "async ", "int ", "void ", "foo", "(", "(a)", ")", " {", "{", "}", "\n", "\n\n", "    ", "  ", "\t",
     "function ", "const ", "let ", "x", " = ", "=>", "fn ", "pub ", "func ", "fun ", "suspend ", "def ", "class ", "abstract ", "struct ",
@@ -38,7 +20,7 @@ WORDS = [
     "foo(a) {", "x(b) {\n", "int bar(c) {\n", "\ndef f(a):\n", "\n    async def g(\nb):\n", "\n        if x:\n", "\n# c\n", "\nclass K:\n",
     "public static ", "static static public foo() {", "static  ", "staticpublic ", "public static static(a) {",
 ]
-KEYWORDS = re.compile(r"\b(?:if|else|elif|for|while|switch|case|catch|except|try|and|or|&&|\|\|)\b")
+DECISIONS = re.compile(KEYWORDS)
 
 
 @pytest.fixture(scope="module")
@@ -90,7 +72,7 @@ def expected_functions(extractor, text):
             last = text.count("\n", 0, brace_end(text, match.start(), limit)) + 1
         body = lines[first - 1 : last]
         depth = max([(len(x) - len(x.lstrip())) // 4 for x in body if x.strip()], default=0)
-        yield next(g for g in match.groups() if g), first, last - first, len(KEYWORDS.findall("\n".join(body))) + 1, depth
+        yield next(g for g in match.groups() if g), first, last - first, len(DECISIONS.findall("\n".join(body))) + 1, depth
 
 
 @pytest.mark.parametrize("extractor", EXTENSION)
@@ -106,7 +88,8 @@ def test_functions(sources, texts, extractor):
 def test_classes(sources, texts, extractor):
     mine = {p: t for p, t in texts.items() if p.endswith("." + EXTENSION[extractor])}
     found = sorted((r["file_id"], r["name"], r["line"]) for r in class_rows(sources(mine)).collect())
-    expected = sorted((p, m.group(1), t.count("\n", 0, m.start()) + 1) for p, t in mine.items() for m in re.finditer(CLASSES[extractor], t))
+    pattern, group = CLASS_PATTERNS[extractor]
+    expected = sorted((p, m.group(group), t.count("\n", 0, m.start()) + 1) for p, t in mine.items() for m in re.finditer(pattern, t))
     assert expected and found == expected
 
 

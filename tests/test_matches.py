@@ -8,6 +8,7 @@ import pytest
 from debtscope.functions import regex as R
 from debtscope.operators.matches import match_rows
 from debtscope.operators.smells import deep_line_rows, merged_ranges, smell_rows
+from oracles.fixed import SMELL_PATTERNS
 from pyspark.sql import functions as F
 
 WORDS = [
@@ -15,16 +16,8 @@ WORDS = [
     "'", "#", "//", "/*", "TODO", "fixme", "print (", "except", ":", "12", "345", "0x1F2E", "-", ".", "/usr/", "C:\\", "return", "import ",
     "é", "²", "\u3000", "\x1c", "const ", "= ", "=>", "fn ", "func ", "let ", "abcdefghij", "    ", "\u0301",
 ]
-# Independent statements of the detectors, in Python's dialect.
-PYTHON = {
-    "deep_nesting": re.compile(r"^(?:\t{5,}|[ ]{20,})\S", re.M),
-    "magic_number": re.compile(r"""(?<!["'\w])(?!-?[012]\b)-?\b\d{2,}(?:\.\d+)?(?!["'\w])|0x[0-9a-fA-F]{4,}"""),
-    "duplicate_string": re.compile(r"""(["'][^"']{10,}["'])(?:.{0,2000}?)\1"""),
-    "print_debug": re.compile(r"\b(?:print|console\.log|System\.out\.print|fmt\.Print|var_dump|dd)\s*\(", re.I),
-    "todo_fixme": re.compile(r"(?:#|//|/\*)\s*(?:TODO|FIXME|XXX|HACK|BUG)\b", re.I),
-    "bare_except": re.compile(r"\bexcept\s*:\s*$", re.M),
-    "commented_code": re.compile(r"(?:#|//)\s*(?:if|for|def|class|return|import|function|var|let|const)\s+\w+"),
-}
+# The detectors in Python's dialect; texts for hard-coded paths are in the oracle comparison.
+PYTHON = {key: re.compile(pattern) for key, pattern in SMELL_PATTERNS.items() if key not in ("long_param_list", "hardcoded_path")}
 
 
 @pytest.fixture(scope="module")
