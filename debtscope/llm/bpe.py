@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession, functions as F
 
-from debtscope.llm.common import chunks
+from debtscope.llm.common import chunks, trim
 
 #: Words of more parts are merged with a heap instead of repeated scans; the result is the same.
 SHORT = 96
 #: Short words are merged in groups of like size.
 _WIDTHS = (0, 8, 12, 16, 24, 48, SHORT)
 #: Bytes of stretches without white space, their ids and what Python spends on them, that are kept from text to text; beyond, all are forgotten.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 32 << 20
 #: Characters that are split and merged together.
 PORTION = 1 << 19
 
@@ -262,7 +262,9 @@ class Encoder:
 @cache
 def _loaded(path: str) -> Encoder:
     """One encoder for each worker process and file."""
-    return Encoder(path)
+    own = Encoder(path)
+    trim()
+    return own
 
 
 def encoder(spark: SparkSession, path: str):
@@ -280,6 +282,7 @@ def encode(text: Column, get) -> Column:
         own = get()
         for texts in batches:
             yield pd.Series(own.code([x or "" for x in texts]))
+        trim()
 
     return encoded(text)
 
@@ -293,6 +296,7 @@ def encode_decode(text: Column, get) -> Column:
         for texts in batches:
             found = [(*own.texts(ids), len(ids)) for ids in own.code([x or "" for x in texts])]
             yield pd.DataFrame(found, columns=["ids", "decoded", "n_tokens"])
+        trim()
 
     return coded(text)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from debtscope.session import scratch
@@ -43,6 +47,14 @@ def held_out(key: Column, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(key, modulus) == value, F.lit(True))
 
 
+def trim() -> None:
+    """Give freed memory of a worker back to its machine; workers live on and serve the next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     """Cut a text behind white space into stretches of about ``size`` characters; a longer run without white space stays whole."""
     start = 0

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from debtscope.llm.common import trim
 from debtscope.llm.words import ALPHANUMERIC, word_hashes
 
 #: Words of a window; an item of fewer words is one window as a whole.
@@ -162,32 +163,37 @@ def find(text: Column, own: list[Block]) -> Column:
     Matches are maximal; an item may match at several places.  A null or wordless text has none.
     """
 
+    def covered(found) -> int:
+        total = at = 0
+        for begin, end in sorted((m["doc_word"], m["doc_word"] + m["n_words"]) for m in found):
+            total += max(0, end - max(begin, at))
+            at = max(at, end)
+        return total
+
     def one(part: Block) -> Column:
-        @F.pandas_udf(f"n_words long, matches {MATCHES}")
+        @F.pandas_udf(f"n_words long, n_hit long, matches {MATCHES}")
         def searched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
                 counts, rows = search([x or "" for x in texts], part)
                 matches: list[list[dict]] = [[] for _ in range(len(texts))]
                 for doc, item, item_word, doc_word, n in rows[np.lexsort(rows[:, ::-1].T)].tolist():
                     matches[doc].append({"item": part.items[item], "item_word": item_word, "doc_word": doc_word, "n_words": n})
-                yield pd.DataFrame({"n_words": counts.astype(np.int64), "matches": matches})
+                hits = np.array([covered(own) for own in matches], np.int64)
+                yield pd.DataFrame({"n_words": counts.astype(np.int64), "n_hit": hits, "matches": matches})
+            trim()
 
         return searched(text)
 
+    if len(own) == 1:
+        return one(own[0])
+
     @F.pandas_udf("long")
-    def covered(rows: pd.Series) -> pd.Series:
-        out = []
-        for found in rows:
-            total = at = 0
-            for begin, end in sorted((m["doc_word"], m["doc_word"] + m["n_words"]) for m in found):
-                total += max(0, end - max(begin, at))
-                at = max(at, end)
-            out.append(total)
-        return pd.Series(out, dtype="int64")
+    def all_covered(rows: pd.Series) -> pd.Series:
+        return pd.Series([covered(found) for found in rows], dtype="int64")
 
     found = [one(part) for part in own]
-    matches = found[0]["matches"] if len(found) == 1 else F.concat(*[x["matches"] for x in found])
-    return F.struct(found[0]["n_words"].alias("n_words"), covered(matches).alias("n_hit"), matches.alias("matches"))
+    matches = F.concat(*[x["matches"] for x in found])
+    return F.struct(found[0]["n_words"].alias("n_words"), all_covered(matches).alias("n_hit"), matches.alias("matches"))
 
 
 def remove(documents: DataFrame, own: list[Block]) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from debtscope.llm.common import saved
+from debtscope.llm.common import saved, trim
 
 # --- fixed values: base patterns, in the order of their kinds --------------------------------
 
@@ -319,35 +319,53 @@ def scan(text: Column, field: Field) -> Column:
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         classes = _Classes(field.words)
         for texts in batches:
-            out = []
-            for text in texts:
-                text = text or ""
-                base = base_spans(text)
-                more = [(a, 3, b) for a, b in tagged_spans(text, field, classes) if not any(s <= a and b <= e for s, _, e in base)]
-                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + more)])
-            yield pd.Series(out)
+            yield pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(text or "", field, classes)] for text in texts])
+        trim()
 
     return scanned(text)
 
 
+def spans_of(text: str, field: Field, classes: _Classes) -> list[tuple[int, int, int]]:
+    """Base hits and the field's spans beside them as (start, kind, end), in order."""
+    base = base_spans(text)
+    more = [(a, 3, b) for a, b in tagged_spans(text, field, classes) if not any(s <= a and b <= e for s, _, e in base)]
+    return sorted(base + more)
+
+
+def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with each maximal run of spans (start, end) replaced by ``mark``."""
+    parts, at = [], 0
+    for start, end in sorted(spans):
+        if end <= at:
+            continue
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = end
+    return "".join(parts) + text[at:]
+
+
+def cleaned(text: Column, field: Field, mark: str = "[SECRET]") -> Column:
+    """:func:`scan` and :func:`redact` in one step: the text without its secrets; null and untouched texts stay."""
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        classes = _Classes(field.words)
+        for texts in batches:
+            found = [[] if text is None else [(a, b) for a, _, b in spans_of(text, field, classes)] for text in texts]
+            yield pd.Series([without(text, own, mark) if own else text for text, own in zip(texts, found)])
+        trim()
+
+    return cut(text)
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each maximal run of spans replaced by ``mark``; null and untouched texts stay."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, rows: pd.Series) -> pd.Series:
-        out = []
-        for text, found in zip(texts, rows):
-            if text is None or found is None or not len(found):
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for span in sorted(found, key=lambda s: s["start"]):
-                if span["end"] <= at:
-                    continue
-                if span["start"] >= at:
-                    parts += [text[at : span["start"]], mark]
-                at = span["end"]
-            out.append("".join(parts) + text[at:])
-        return pd.Series(out)
+        untouched = lambda text, found: text is None or found is None or not len(found)
+        return pd.Series(
+            [t if untouched(t, found) else without(t, [(x["start"], x["end"]) for x in found], mark) for t, found in zip(texts, rows)]
+        )
 
     return cut(text, spans)
