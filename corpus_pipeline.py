@@ -35,8 +35,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Replace secrets in the texts by a mark; no document is dropped."""
     batched(spark)
     field = secret_scan.train(docs)
-    text = secret_scan.redact(F.col("text"), secret_scan.scan(F.col("text"), field))
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return docs.withColumn("text", secret_scan.cleaned(F.col("text"), field)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
