@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from debtscope.llm.common import saved
+from debtscope.llm.common import saved, trim
 from debtscope.llm.links import components
 from debtscope.llm.words import UNSPACED, word_hashes
 
@@ -99,13 +99,14 @@ def histogram(texts: DataFrame) -> np.ndarray:
     counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (size // BYTES_PER_COUNTER).bit_length()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(counters, np.uint16)
+        trim()  # what earlier stages have left in this worker
+        total = np.zeros(counters, np.uint8)
         for batch in batches:
             sets = shingle_sets([x or "" for x in batch["text"]])
             at, n = np.unique(_counter(np.concatenate([*sets, np.zeros(0, np.uint64)]), counters), return_counts=True)
-            total[at] = np.minimum(255, total[at] + n)
+            total[at] = np.minimum(255, total[at].astype(np.int64) + n)
         for block in range(counters // COUNTER_BLOCK):
-            part = total[block * COUNTER_BLOCK : (block + 1) * COUNTER_BLOCK].astype(np.uint8)
+            part = total[block * COUNTER_BLOCK : (block + 1) * COUNTER_BLOCK]
             if part.any():
                 yield pd.DataFrame({"block": [block], "counts": [zlib.compress(part.tobytes(), 1)]})
 
@@ -151,6 +152,7 @@ def node_rows(documents: DataFrame, counts) -> DataFrame:
                 frame[name] = [x[i] for x in out]
             frame["k"] = pd.array([x[1] for x in out], dtype="Int64")
             yield frame
+        trim()
 
     rows = documents.select("doc_id", _place().alias("place"), F.xxhash64("text").alias("whole"), "text")
     return _batches(rows, build, "doc_id long, place long, whole long, n long, k long, rare array<long>, bits array<long>, odd array<long>")
