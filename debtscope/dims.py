@@ -129,8 +129,6 @@ SMELL_DISPLAY_EN = {"long_lines": "Long Code Lines (>120 characters)", "long_fun
 # key, English, Chinese; a key without Chinese text falls back to English
 
 LABELS = [
-    ("scanning", "Scanning", "扫描中"),
-    ("engine", "Engine", "引擎"),
     ("quality_metric", "Quality Metric", "质量指标"),
     ("total", "TOTAL", "合计"),
     ("project_index", "Project Quality Index", "项目代码质量指数"),
@@ -156,8 +154,6 @@ LABELS = [
     ("top_files", "🏔️ TOP 10 DEBT FILES (Logic Complexity)", None),
     ("refactor_advisor", "🔧 REFACTOR ADVISOR (Heuristic Scan)", "🔧 重构建议 (启发式扫描)"),
     ("exempted_aggregators", "🛡️ EXEMPTED AGGREGATORS (High Complexity but Allowed)", "🛡️ 豁免的聚合文件 (高复杂度但允许)"),
-    ("report_exported", "Report exported to", "报告已导出到"),
-    ("report_failed", "Failed to export report", "报告导出失败"),
     ("code_quality_report", "Code Quality Report", "代码质量报告"),
     ("generated_by", "Generated from the file metrics table", None),
     ("file_analysis", "File Analysis", "文件分析"),

@@ -1,8 +1,7 @@
 """Common table expressions shared by the oracle queries (DuckDB SQL).
 
 They rebuild the corpora from the given tables and recompute every measure with window
-functions and RE2 patterns.  What RE2 cannot express (look-around, back references, syntax
-trees) is summed from the hand-written template weights instead.
+functions and RE2 patterns.  Syntax trees are summed from hand-written weights of the templates.
 """
 
 from __future__ import annotations
@@ -82,7 +81,7 @@ def query(final: str, *deps: str) -> str:
     return f"WITH RECURSIVE {body}\n{final}" if body else final
 
 
-cte("templates", values([(t.family, t.k, t.body, t.magic, t.duplicate) for t in T.TEMPLATES], "family, k, body, magic, dup"))
+cte("templates", values([(t.family, t.k, t.body) for t in T.TEMPLATES], "family, k, body"))
 cte(
     "template_nodes",
     values([(t.family, t.k, *node) for t in T.TEMPLATES for node in t.nodes], "family, k, kind, arity, docstring, n"),
@@ -141,7 +140,6 @@ cte(
         JOIN languages l ON l.ext = CASE WHEN contains(k.base, '.') THEN lower(string_split(k.base, '.')[-1]) ELSE '' END""",
     "kept", "languages",
 )
-cte("code_src", "SELECT * FROM src WHERE repo LIKE 'repo%'", "src")
 
 # --- lines -----------------------------------------------------------------------------------
 
