@@ -242,6 +242,25 @@ def test_groups_equal_all_pairs(documents, seed, lengths):
     assert sorted(map(tuple, got), key=repr) == plain_groups(rows)
 
 
+@pytest.mark.parametrize("length, kept", [(90, 128), (260, 128), (200, 64)])
+def test_one_large_group_and_those_beside_it(documents, monkeypatch, length, kept):
+    """Copies that are more and less changed, some with changes in common, so that many just miss the group."""
+    monkeypatch.setattr(minhash, "KEPT", kept)
+    rng = random.Random(length)
+    base, rows = [f"w{i}" for i in range(length)], []
+    edits = [[(rng.randrange(length), f"s{e}x{j}") for j in range(length // 30)] for e in range(4)]
+    for i in range(90):
+        own = list(base[: rng.choice([length, length, length - length // 12])])
+        changes = rng.choice([[], [], *edits]) + [(rng.randrange(length), f"u{i}x{j}") for j in range(rng.randint(0, length // 22))]
+        for at, word in changes:
+            if at < len(own):
+                own[at] = word
+        rows.append((i, " ".join(own)))
+    got = minhash.deduplicated(documents(rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    want = plain_groups(rows)
+    assert sorted(map(tuple, got), key=repr) == want and 1 < sum(r[3] for r in want) < 90
+
+
 def test_small_sketches_lose_no_link(documents, monkeypatch):
     monkeypatch.setattr(minhash, "KEPT", 32)
     rows = families(5, [60, 200, 400])
