@@ -139,8 +139,8 @@ def reported(profile: DataFrame) -> DataFrame:
     return profile.filter(anything & ((F.col("debt_score") >= 5) | any_problem))
 
 
-def report_sections(profile: DataFrame, locale: str = "en") -> DataFrame:
-    """Per-file report lines of every reported file, unsorted; a locale without texts falls back to English."""
+def report_sections(profile: DataFrame, locale: str = "en", smells: bool = True) -> DataFrame:
+    """Per-file report lines of every reported file, unsorted, with or without the smells; a locale without texts falls back to English."""
     locale = dims.spoken(locale)
     label = _labels(locale)
     diagnosis, tips = _problem_texts(locale)
@@ -165,6 +165,7 @@ def report_sections(profile: DataFrame, locale: str = "en") -> DataFrame:
     measures = _text(f"**{label['debt_score']}:** ", _number(F.col("debt_score")), f" | **{label['complexity']}:** ", _number(F.col("complexity")),
                      f" | **{label['lines']}:** ", _number(F.col("total")))
     always = F.lit(True)
+    smelt = [_title(3, F.size("smells") > 0, f"#### {label['code_smells']}", ""), _items(3, F.slice("smells", 1, 5), smell)] if smells else []
     return _unfolded(
         reported(profile),
         _title(0, always, _text("### 📄 `", F.col("path"), "`"), "", measures, ""),
@@ -172,7 +173,6 @@ def report_sections(profile: DataFrame, locale: str = "en") -> DataFrame:
         _items(1, F.col("problems"), problem),
         _title(2, F.size("functions") > 0, f"#### {label['complexity_hotspots']}", "", "| " + " | ".join(header) + " |", "| --- | ---: | ---: | ---: | ---: |"),
         _items(2, F.slice("functions", 1, 5), function),
-        _title(3, F.size("smells") > 0, f"#### {label['code_smells']}", ""),
-        _items(3, F.slice("smells", 1, 5), smell),
+        *smelt,
         _title(4, always, "---", ""),
     )

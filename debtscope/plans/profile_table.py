@@ -7,8 +7,9 @@ lost executor costs no more than its own unfinished scan tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from debtscope.operators import hotspots
 from debtscope.operators.diagnose import with_problems
 from debtscope.operators.hotspots import with_classes, with_functions
 from debtscope.operators.profile import file_metrics
@@ -22,6 +23,27 @@ def profile(files: DataFrame, *carry: str) -> DataFrame:
     return with_problems(file_metrics(described, carry=["smells", "functions", "classes", *carry]))
 
 
+def metrics_profile(files: DataFrame, *carry: str) -> DataFrame:
+    """The metrics alone, where neither smells nor functions are asked for."""
+    return file_metrics(source_files(files), carry=list(carry))
+
+
+def report_profile(files: DataFrame, functions: bool = True) -> DataFrame:
+    """The part of :func:`profile` that decides what is reported: files with a problem or a debt of 5.
+
+    Functions are told unless they only have to decide; they and smells are looked for where
+    nothing else speaks for a file yet, and smells are only counted.
+    """
+    measured = with_problems(file_metrics(source_files(files), carry=["text", "extractor"]))
+    no_problem = F.size("problems") == 0
+    worth = measured.filter(~no_problem | (F.col("debt_score") >= 5))
+    if not functions:
+        worth = worth.withColumn("text", F.when(no_problem, F.col("text")))
+    described = with_functions(worth, parts=hotspots.PARTS if functions else ())
+    silent = described.withColumn("text", F.when(no_problem & (F.size("functions") == 0), F.col("text")))
+    return with_smells(silent, parts=()).drop("text", "extractor")
+
+
 def write_profile(files: DataFrame, path: str) -> DataFrame:
     """Write :func:`profile` as Parquet, partitioned for nothing, and read it back."""
     profile(files).write.mode("overwrite").parquet(path)
