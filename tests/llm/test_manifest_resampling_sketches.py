@@ -261,6 +261,23 @@ def test_one_large_group_and_those_beside_it(documents, monkeypatch, length, kep
     assert sorted(map(tuple, got), key=repr) == want and 1 < sum(r[3] for r in want) < 90
 
 
+def test_nodes_that_ask_one_group_are_not_met_by_frequent_tokens(spark):
+    """Forty nodes with a passage in common that cannot link them, and two that share more."""
+    rows = [(a, 1, 50, True, 30, [*range(900, 908), *range(a * 100 + 1000, a * 100 + 1012)]) for a in range(40)]
+    rows += [(a, 1, 50, True, 30, [*range(900, 908), *range(8), 50 + a, 60 + a, 70 + a, 80 + a]) for a in (40, 41)]
+    rng = random.Random(3)
+    for a in range(50, 90):
+        rest = rng.sample(range(30), rng.randint(0, 25))
+        rows.append((a, 2, 60 + len(rest), True, 60 - rng.randint(0, 9), rest))
+    own = spark.createDataFrame(rows, "a long, comp long, m long, single boolean, common int, rest array<long>")
+    got = {tuple(r) for r in minhash._asking_alike(own).collect()}
+    assert {x for x in got if x[0] < 50} == {(40, 41)}
+    lacking = lambda x, y: max(1, (x[2] + y[2]) * 80 / 180 - min(x[4], y[4]) - 1e-9)
+    alike = lambda x, y: 5 * x[2] >= 4 * y[2] and 5 * y[2] >= 4 * x[2]
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and alike(x, y) and len({*x[5]} & {*y[5]}) >= lacking(x, y)}
+    assert want <= got and len(want) > 10
+
+
 def test_small_sketches_lose_no_link(documents, monkeypatch):
     monkeypatch.setattr(minhash, "KEPT", 32)
     rows = families(5, [60, 200, 400])
