@@ -278,6 +278,31 @@ def test_nodes_that_ask_one_group_are_not_met_by_frequent_tokens(spark):
     assert want <= got and len(want) > 10
 
 
+def test_groups_are_met_by_few_members(spark):
+    """Nodes that a group's closest member links, and nodes for which members need tokens apart from the head in common."""
+    rng, linked, sets, asks = random.Random(8), lambda x, y: 180 * len(x & y) >= 80 * (len(x) + len(y)), {}, []
+    for comp in (0, 1):
+        head = set(range(comp * 1000, comp * 1000 + 60))
+        for i in range(50):
+            gone = set(rng.sample(sorted(head), rng.randint(0, 6) if i else 0))
+            sets[comp * 1000 + i] = (comp, head - gone | {comp * 1000 + 500 + rng.randrange(12) for _ in range(rng.randint(0, 5) if i else 0)})
+        for i in range(40):
+            gone = set(rng.sample(sorted(head), rng.randint(0, 12)))
+            asks.append((5000 + comp * 100 + i, comp))
+            sets[asks[-1][0]] = (asks[-1][0], head - gone | {comp * 1000 + 500 + rng.randrange(12) for _ in range(rng.randint(0, 12))})
+    nodes = spark.createDataFrame([(k, len(x), sorted(x)) for k, (_, x) in sets.items()], "k long, n int, sketch array<long>")
+    comps = spark.createDataFrame([(k, c) for k, (c, _) in sets.items()], "k long, comp long")
+    full = spark.createDataFrame([(k, sorted(x)) for k, (_, x) in sets.items()], "k long, tokens array<long>")
+    least = {c: min(len(x) for d, x in sets.values() if d == c) for c in (0, 1)}
+    asked = spark.createDataFrame(
+        [(a, len(sets[a][1]), True, c, 50, least[c], c * 1000) for a, c in asks], "a long, n int, single boolean, comp long, size long, least int, head long"
+    )
+    got = {tuple(r) for r in minhash.inside_groups(minhash._against_heads(asked, full), minhash.inverted(nodes).join(comps, "k"), full).collect()}
+    want = {(a, c) for a, c in asks if any(linked(sets[a][1], x) for d, x in sets.values() if d == c)}
+    assert {(a, sets[b][0]) for a, b in got if linked(sets[a][1], sets[b][1])} == want and 20 < len(want) < len(asks)
+    assert len(got) < 5 * len(asks)
+
+
 def test_small_sketches_lose_no_link(documents, monkeypatch):
     monkeypatch.setattr(minhash, "KEPT", 32)
     rows = families(5, [60, 200, 400])
