@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from debtscope.llm.common import saved, trim
 from debtscope.llm.links import components
-from debtscope.llm.words import UNSPACED, word_hashes
+from debtscope.llm.words import UNSPACED, portions, word_hashes
 
 #: Words of a shingle, and the similarity in hundredths from which on two sets are linked.
 WIDTH, PERCENT = 5, 80
@@ -102,9 +102,9 @@ def histogram(texts: DataFrame) -> np.ndarray:
         trim()  # what earlier stages have left in this worker
         total = np.zeros(counters, np.uint8)
         for batch in batches:
-            sets = shingle_sets([x or "" for x in batch["text"]])
-            at, n = np.unique(_counter(np.concatenate([*sets, np.zeros(0, np.uint64)]), counters), return_counts=True)
-            total[at] = np.minimum(255, total[at].astype(np.int64) + n)
+            for texts in portions(batch["text"]):
+                at, n = np.unique(_counter(np.concatenate(shingle_sets(texts)), counters), return_counts=True)
+                total[at] = np.minimum(255, total[at].astype(np.int64) + n)
         for block in range(counters // COUNTER_BLOCK):
             part = total[block * COUNTER_BLOCK : (block + 1) * COUNTER_BLOCK]
             if part.any():

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from debtscope.llm import labelled, linear
-from debtscope.llm.common import chunks
+from debtscope.llm.common import chunks, trim
 
 #: Hashed features; single tokens, token pairs and shape triples share the table.
 SIZE = 1 << 18
@@ -94,6 +94,8 @@ def score(text: Column, model: linear.LinearModel) -> Column:
         for texts in batches:
             margin = [linear.margins([of(x or "")], model.weights, model.bias)[0] for x in texts]
             yield pd.Series(model.probability(np.array(margin)).astype(float))
+        del of  # its tables would stay until the next task
+        trim()
 
     return scored(text)
 

@@ -12,7 +12,7 @@ import pytest
 from odd_rows import ODD
 from pyspark.sql import functions as F
 
-from debtscope.llm import decontamination, jaccard, merkle, minhash, queries, ranks, resampling
+from debtscope.llm import decontamination, jaccard, merkle, minhash, queries, ranks, resampling, words
 from debtscope.llm.words import ALPHANUMERIC, UNSPACED, word_hashes
 from oracles.check import compare, connect
 
@@ -335,6 +335,30 @@ def test_words_with_a_pattern_differ(spark, documents):
     assert {r["doc_id"]: r["n"] for r in hits} == {1: 1, 2: 0, 3: 1}
 
 
+def test_words_in_portions_are_the_same(monkeypatch):
+    texts = ["", "aB c\n", "é漢 x" * 9, "y" * 100, " ", "z" * 47 + " " + "z" * 49, "q" * 64]
+    want = [word_hashes(texts, members) for members in (ALPHANUMERIC, UNSPACED)]
+    assert want[1][1].tolist() == [0, 2, 10, 1, 0, 2, 1]
+    for size in (1, 7, 64, 101):
+        monkeypatch.setattr(words, "PORTION", size)
+        for members, (hashes, counts) in zip((ALPHANUMERIC, UNSPACED), want):
+            own = word_hashes(texts, members)
+            assert own[0].tolist() == hashes.tolist() and own[1].tolist() == counts.tolist()
+    assert list(words.portions([None, "a" * 60, "b" * 60, "c" * 200])) == [["", "a" * 60], ["b" * 60], ["c" * 200]]
+
+
+@pytest.mark.parametrize("texts", [["word " * 200] * 8_000, ["word " * 1_600_000], ["w" * 8_000_000]])
+def test_a_batch_of_texts_takes_a_few_times_its_bytes(texts):
+    """An Arrow batch has 8 MB; letters as numbers would take over 30 times that."""
+    import tracemalloc
+
+    tracemalloc.start()
+    counts = word_hashes(texts, UNSPACED)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() in (1_600_000, 1) and peak < 25 * 8_000_000
+
+
 def test_repetitive_items_take_bounded_memory():
     import tracemalloc
 
