@@ -9,38 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from debtscope.llm import bpe, decontamination, jaccard, quality, secret_scan
-from debtscope.llm.common import batched, saved, table
+from debtscope.llm.common import SMALL_BATCH, batched, saved, table
 from debtscope.llm.queries import VOCABULARY, _labels
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects; it learns from labelled documents."""
-    batched(spark)
-    return quality.keep_good(docs, quality.train(docs, _labels(spark, sf_dir, "quality")))
+    labels = _labels(spark, sf_dir, "quality")
+    batched(spark, SMALL_BATCH)
+    return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that near-copy links connect."""
-    batched(spark)
+    batched(spark, SMALL_BATCH)
     return jaccard.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark window."""
-    batched(spark)
-    return decontamination.remove(docs, decontamination.blocks(table(spark, sf_dir, "benchmark")))
+    own = decontamination.blocks(table(spark, sf_dir, "benchmark"))
+    batched(spark, SMALL_BATCH)
+    return decontamination.remove(docs, own)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts by a mark; no document is dropped."""
-    batched(spark)
+    batched(spark, SMALL_BATCH)
     field = secret_scan.train(docs)
     return docs.withColumn("text", secret_scan.cleaned(F.col("text"), field)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every text: key, language, source, number of tokens and the ids."""
-    batched(spark)
+    batched(spark, SMALL_BATCH)
     ids = bpe.encode(F.col("text"), bpe.encoder(spark, VOCABULARY))
     coded = docs.select("doc_id", "lang", "source", ids.alias("ids"))
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))

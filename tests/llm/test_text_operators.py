@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,7 +13,7 @@ from odd_rows import ODD
 from tokenizers import Tokenizer
 
 from debtscope.llm import bpe, labelled, langid, linear, quality, secret_scan, toxicity
-from debtscope.llm.common import chunks, table
+from debtscope.llm.common import batched, chunks, table
 
 SF_DIR = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -186,3 +187,14 @@ def test_language_of_held_out_documents(spark, documents):
     assert not odd[1]["accepted"] and odd[1]["score"] == 0.0
     empty = langid.train(documents([]))
     assert [r["f"]["lang"] for r in documents([(1, "x")]).select(langid.identify(F.col("text"), empty).alias("f")).collect()] == ["und"]
+
+
+def test_pipeline_stages_send_small_batches(spark, documents):
+    """A stage sets the bound after it has read its other tables, which set the usual one."""
+    docs = documents([(i, f"word {i} " * 20_000) for i in range(40)]).coalesce(1)
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.benchmark_stage, corpus_pipeline.tokens_stage):
+        batched(spark)
+        stage(spark, docs, SF_DIR)
+        sizes = docs.select("text").mapInPandas(lambda batches: (x.assign(text=x["text"].str.len()).sum().to_frame("n") for x in batches), "n long")
+        got = [r["n"] for r in sizes.collect()]
+        assert sum(got) == sum(len(f"word {i} ") * 20_000 for i in range(40)) and max(got) <= 3 << 20
