@@ -303,6 +303,21 @@ def test_groups_are_met_by_few_members(spark):
     assert len(got) < 5 * len(asks)
 
 
+def test_bounds_on_pairs_are_compiled(spark):
+    """Pairs are many; a method of over 8,000 bytes is never compiled and takes some 40 microseconds for each."""
+    rows = [(v, k, n, 60 + k, 0.5, comp) for v in range(3) for k, n, comp in ((1, 80, 1), (2, 82, 1), (3, 81, 3), (4, 90, 4), (5, 400, 5), (6, 79, 5))]
+    lists = spark.createDataFrame(rows, "value long, k long, n long, left long, own double, comp long")
+    nodes = spark.createDataFrame([(k, 20 + k, list(range(20 + k))) for k in range(9)], "k long, n long, sketch array<long>")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # such a plan is compiled as a whole
+    try:
+        for found in (minhash.followers(lists, 0), minhash.asked_groups(lists), minhash.inverted(nodes)):
+            parts = found._jdf.queryExecution().debug().codegenToSeq()
+            assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_small_sketches_lose_no_link(documents, monkeypatch):
     monkeypatch.setattr(minhash, "KEPT", 32)
     rows = families(5, [60, 200, 400])
