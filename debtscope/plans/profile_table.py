@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from debtscope.operators import hotspots
+from debtscope.operators import hotspots, ranking
 from debtscope.operators.diagnose import with_problems
 from debtscope.operators.hotspots import with_classes, with_functions
 from debtscope.operators.profile import file_metrics
@@ -28,13 +28,28 @@ def metrics_profile(files: DataFrame, *carry: str) -> DataFrame:
     return file_metrics(source_files(files), carry=list(carry))
 
 
+def _measured(files: DataFrame) -> DataFrame:
+    """Metrics and problems with the texts still beside them, so that only files that stay are looked into further."""
+    return with_problems(file_metrics(source_files(files), carry=["text", "extractor"]))
+
+
+def _described(measured: DataFrame) -> DataFrame:
+    return with_classes(with_functions(with_smells(measured))).drop("text", "extractor")
+
+
+def advised_profile(files: DataFrame, show_all: bool = False, most: int = ranking.ADVISED_FILES) -> DataFrame:
+    """The rows of :func:`profile` that advice is given for; files are ranked by their metrics, and only the first are described."""
+    top = ranking.top_files(_measured(files), show_all).orderBy(*ranking.by_debt()).limit(most)
+    return _described(top)
+
+
 def report_profile(files: DataFrame, functions: bool = True) -> DataFrame:
     """The part of :func:`profile` that decides what is reported: files with a problem or a debt of 5.
 
     Functions are told unless they only have to decide; they and smells are looked for where
     nothing else speaks for a file yet, and smells are only counted.
     """
-    measured = with_problems(file_metrics(source_files(files), carry=["text", "extractor"]))
+    measured = _measured(files)
     no_problem = F.size("problems") == 0
     worth = measured.filter(~no_problem | (F.col("debt_score") >= 5))
     if not functions:

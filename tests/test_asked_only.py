@@ -8,6 +8,7 @@ from debtscope.operators.hotspots import function_rows
 from debtscope.operators.smells import KEYS, PARTS, smell_rows
 from debtscope.plans import advice, update
 from debtscope.plans.profile_table import metrics_profile, profile, report_profile
+from debtscope.queries import QUERIES
 from debtscope.sources import tables
 
 LONG = "def long_one(a):\n" + "    a += 1\n" * 60 + "    return a\n"
@@ -84,3 +85,34 @@ def test_contents_by_metrics_alone(files, tmp_path):
     once = update.profile_contents(twice, str(tmp_path), metrics_profile)
     assert "smells" not in once.columns
     assert rows(once.select("file_id", "debt_score", "path")) == rows(metrics_profile(twice).select("file_id", "debt_score", "path"))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Line items that make code files, and texts that come as documents, pages and turns."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    values = [(i // 4, i % 4, i % 7, i % 11) for i in range(4000)] + [(None, 1, 1, 1)]
+    spark.createDataFrame(values, "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long").write.parquet(f"{path}/lineitem.parquet")
+    texts = [*TEXTS.values(), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, f"<p>{t}</p><script>if (a) {{ b(); }}</script>") for i, t in enumerate(texts)], "page_id long, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+def whole_plan(spark, df):
+    """The optimized plan, unabridged; what is worked out first stands last."""
+    width = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", width)
+
+
+def test_only_advised_files_are_described(spark, folder):
+    found = QUERIES["snk_06_advice"](spark, folder)
+    want = advice.top_file_advice(profile(tables.all_files(spark, folder)))
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in want.collect()] and found.count() > 20
+    told = whole_plan(spark, found)
+    assert told.rindex("HACK") < told.rindex("GlobalLimit 10")
