@@ -43,6 +43,11 @@ def advised_profile(files: DataFrame, show_all: bool = False, most: int = rankin
     return _described(top)
 
 
+def reported_profile(files: DataFrame) -> DataFrame:
+    """The rows of :func:`profile` that may be reported, which are those with a problem or a debt of 5; only they are described."""
+    return _described(_measured(files).filter((F.size("problems") > 0) | (F.col("debt_score") >= 5)))
+
+
 def report_profile(files: DataFrame, functions: bool = True) -> DataFrame:
     """The part of :func:`profile` that decides what is reported: files with a problem or a debt of 5.
 

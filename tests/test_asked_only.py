@@ -1,5 +1,7 @@
 """Queries work out what they ask for and nothing else, with the same values."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,13 @@ def test_only_advised_files_are_described(spark, folder):
     assert [tuple(r) for r in found.collect()] == [tuple(r) for r in want.collect()] and found.count() > 20
     told = whole_plan(spark, found)
     assert told.rindex("HACK") < told.rindex("GlobalLimit 10")
+
+
+def test_only_reported_files_are_described_and_each_pattern_runs_once(spark, folder):
+    found = QUERIES["snk_03_advice_report"](spark, folder)
+    want = advice.report_sections(profile(tables.all_files(spark, folder)))
+    assert rows(found) == rows(want) and found.filter("section = 3").count() > 20
+    told = whole_plan(spark, found)
+    decided = [m.start() for m in re.finditer(r"debt_score#\d+ >= 5", told)]
+    assert told.rindex("HACK") < max(decided) and told.count("HACK") == 1
+    assert "class_marked" not in told
