@@ -318,6 +318,21 @@ def test_bounds_on_pairs_are_compiled(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def test_single_nodes_meet_as_in_a_plain_join(spark):
+    """Nodes of one list that stand too late for others of their size make no pairs; sizes on both sides of ``KEPT``."""
+    rng = random.Random(4)
+    rows = [(v, k, n, min(n, 128) - rng.randint(0, max(1, min(n, 128) // 4)), rng.random() < 0.3) for v, sizes in ((0, (3, 30)), (1, (90, 300))) for k in range(80) for n in [rng.randint(*sizes)]]
+    rows += [(2, k, 100, 85, False) for k in range(200)]  # each needs 89 for another of 100
+    singles = spark.createDataFrame(rows, "value long, k long, n long, left long, near boolean")
+    other = singles.toDF("value", "b", "m", "other_left", "other_near")
+    want = minhash.meeting(singles.join(other, "value").filter("k < b and not (near and other_near)"))
+    got = minhash.single_pairs(singles)
+    keys = lambda pairs: sorted(tuple(r) for r in pairs.select("value", "k", "b").collect())
+    assert keys(got) == keys(want) and len(keys(want)) > 100
+    assert not [x for x in keys(got) if x[0] == 2]
+    assert minhash.single_pairs(singles.filter("value = 2")).count() == 0
+
+
 def test_small_sketches_lose_no_link(documents, monkeypatch):
     monkeypatch.setattr(minhash, "KEPT", 32)
     rows = families(5, [60, 200, 400])
